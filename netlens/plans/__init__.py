@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("traffic", "flows", "protocols", "detection")
+MODULES = ("traffic", "flows", "protocols", "detection", "search", "catalog", "graph")
 
 
 def load():
