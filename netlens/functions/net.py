@@ -194,12 +194,12 @@ def with_endpoints(df):
     so traffic without ports groups by its addresses alone.
     """
     ports = has_ports()
-    src = F.struct(
-        F.col("src_ip").alias("ip"), F.when(ports, F.col("src_port")).otherwise(0).alias("port")
-    )
-    dst = F.struct(
-        F.col("dst_ip").alias("ip"), F.when(ports, F.col("dst_port")).otherwise(0).alias("port")
-    )
+
+    def end(ip: str, port: str) -> Column:
+        number = F.when(ports, F.coalesce(F.col(port), F.lit(0))).otherwise(0)
+        return F.struct(F.col(ip).alias("ip"), number.alias("port"))
+
+    src, dst = end("src_ip", "src_port"), end("dst_ip", "dst_port")
     return df.withColumns(
         {
             "lo_ip": F.least(src, dst)["ip"],

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("traffic", "flows", "protocols", "detection", "search", "catalog", "graph")
+MODULES = ("traffic", "flows", "protocols", "detection", "search", "catalog", "graph", "anomaly", "live")
 
 
 def load():

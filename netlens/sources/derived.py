@@ -45,13 +45,26 @@ def _text(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _never_null(text: Column) -> Column:
+    """Declare a text that is never NULL as such: grouping keys then need no IS NOT NULL
+    filter, which the optimizer would inline into the join below with the whole formula."""
+    return F.coalesce(text, F.lit(""))
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of fewer splits than the session has cores; larger inputs are left
+    alone, so nothing is shuffled at scale. Hashing keeps a recomputed task's rows the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     template = spark.sql(f"SELECT * FROM VALUES {TEMPLATE_ROWS} AS t({TEMPLATE_COLUMNS})")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "ts", "user_id", "event_type"
     )
-    e = events.join(F.broadcast(template), "event_type")
+    e = _spread(events, "event_id").join(F.broadcast(template), "event_type")
 
     eid, uid = F.col("event_id"), F.col("user_id")
     is_client = F.col("dir") == "c"
@@ -94,12 +107,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("off_ms") * 1000
 
     return e.select(
-        _text("cap", eid % 4).alias("capture_id"),
+        _never_null(_text("cap", eid % 4)).alias("capture_id"),
         (eid * 10 + F.col("step")).cast("long").alias("frame_number"),
         F.timestamp_micros(micros).alias("ts"),
         F.col("size").cast("long").alias("packet_size"),
-        F.when(is_client, client_ip).otherwise(server_ip).alias("src_ip"),
-        F.when(is_client, server_ip).otherwise(client_ip).alias("dst_ip"),
+        _never_null(F.when(is_client, client_ip).otherwise(server_ip)).alias("src_ip"),
+        _never_null(F.when(is_client, server_ip).otherwise(client_ip)).alias("dst_ip"),
         F.col("proto").alias("protocol"),
         F.when(is_tcp, 6).when(is_udp, 17).otherwise(1).alias("ip_proto"),
         F.when(is_client, client_port).otherwise(server_port).alias("src_port"),
