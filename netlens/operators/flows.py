@@ -1,6 +1,6 @@
 """Conversations, TCP streams and UDP flows: grouped rows, never lists of packets."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import net
@@ -34,9 +34,11 @@ def top_conversations(packets: DataFrame, n: int = 20) -> DataFrame:
     return top.join(totals, "capture_id")
 
 
-def conversation_flows(packets: DataFrame) -> DataFrame:
+def conversation_flows(packets: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """Client and server side of each conversation and the traffic each way.
 
+    ``extra`` aggregates are computed in the same grouping and kept as columns.
+
     The client is the higher-port side of the first packet (its sender if there are no
     ports). A packet counts as the client's when it comes from the client's address.
     """
@@ -61,8 +63,10 @@ def conversation_flows(packets: DataFrame) -> DataFrame:
             F.sum("packet_size").alias("bytes"),
             F.count_if(from_lo).alias("lo_packets"),
             F.coalesce(F.sum(F.when(from_lo, F.col("packet_size"))), F.lit(0)).alias("lo_bytes"),
+            F.struct(F.lit(1).alias("_"), *(extra or [])).alias("extra"),
         )
     )
+    kept = [f"extra.{f}" for f in grouped.schema["extra"].dataType.names if f != "_"]
     client_lo = F.col("s.client_ip") == F.col("lo_ip")
     c_packets = F.when(client_lo, F.col("lo_packets")).otherwise(F.col("packets") - F.col("lo_packets"))
     c_bytes = F.when(client_lo, F.col("lo_bytes")).otherwise(F.col("bytes") - F.col("lo_bytes"))
@@ -78,6 +82,7 @@ def conversation_flows(packets: DataFrame) -> DataFrame:
         (F.col("packets") - c_packets).alias("server_packets"),
         c_bytes.alias("client_bytes"),
         (F.col("bytes") - c_bytes).alias("server_bytes"),
+        *kept,
     ).withColumns(
         {
             "duration_s": seconds(span),
@@ -89,6 +94,27 @@ def conversation_flows(packets: DataFrame) -> DataFrame:
     )
 
 
+def with_quality(flow_rows: DataFrame, packets: DataFrame) -> DataFrame:
+    """Flows with their mean HTTP response time and retransmission rate."""
+    from netlens.operators import http, tcp
+
+    paired = http.transactions(packets).select(
+        "capture_id",
+        F.col("client_ip").alias("src_ip"),
+        F.col("client_port").alias("src_port"),
+        F.col("server_ip").alias("dst_ip"),
+        F.col("server_port").alias("dst_port"),
+        "response_us",
+    )
+    times = (
+        net.with_endpoints(paired)
+        .groupBy(*CONVERSATION)
+        .agg((F.sum("response_us") / F.count("*") / 1e6).alias("avg_response_time"))
+    )
+    loss = tcp.retransmissions(packets).select(*CONVERSATION, "retransmission_rate")
+    return flow_rows.join(times, CONVERSATION, "left").join(loss, CONVERSATION, "left")
+
+
 def handshakes(packets: DataFrame) -> DataFrame:
     """Per TCP conversation: did its first ten packets hold SYN, SYN-ACK, then an ACK?"""
     w = Window.partitionBy(*CONVERSATION).orderBy("frame_number")
@@ -198,13 +224,13 @@ def gap_statistics(packets: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def idle_sessions(packets: DataFrame, gap_s: int = 300) -> DataFrame:
-    """Runs of packets of a conversation with no pause of ``gap_s`` seconds or longer.
+    """Runs of packets of a conversation with no pause longer than ``gap_s`` seconds.
 
     Same rows as grouping by ``session_window``, which would sort a whole conversation in
     one task; here the session number is a running sum of "a pause ended here".
     """
     gap_us = gap_s * 1_000_000
-    starts = F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= gap_us), 1).otherwise(0)
+    starts = F.when(F.col("gap_us").isNull() | (F.col("gap_us") > gap_us), 1).otherwise(0)
     numbered = scan(
         packet_gaps(packets).select(*CONVERSATION, "ts", "frame_number", "packet_size", "gap_us"),
         CONVERSATION,

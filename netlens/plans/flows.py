@@ -185,6 +185,28 @@ def a25_ports(spark, sf):
     return flows.flow_port_distribution(flows.conversation_flows(derived.packets(spark, sf)))
 
 
+@query(
+    "a8_flow_quality",
+    _A8
+    + _RETRANS
+    + f""", hm AS (SELECT *, lag(http_method) OVER w AS pm, lag(us) OVER w AS pu FROM conv_packets
+   WHERE http_method IS NOT NULL OR http_status <> 0 WINDOW w AS (PARTITION BY {_CONV} ORDER BY frame_number)),
+ht AS (SELECT {_CONV}, round(sum(us - pu)::BIGINT / count(*) / 1e6, 6) AS avg_response_time FROM hm
+   WHERE http_method IS NULL AND pm IS NOT NULL GROUP BY {_CONV})
+SELECT {_CONV}, client_ip, server_ip, packets, bytes, avg_response_time,
+  round(retransmissions / total::BIGINT, 6) AS retransmission_rate
+FROM d LEFT JOIN ht USING ({_CONV}) LEFT JOIN rt USING ({_CONV})""",
+)
+def a8_quality(spark, sf):
+    p = derived.packets(spark, sf)
+    return rounded(
+        flows.with_quality(flows.conversation_flows(p), p).select(
+            *CONVERSATION, "client_ip", "server_ip", "packets", "bytes", "avg_response_time",
+            "retransmission_rate",
+        )
+    )
+
+
 _W1 = """, g AS (SELECT *, us - lag(us) OVER (PARTITION BY capture_id, lo_ip, lo_port, hi_ip, hi_port
    ORDER BY us, frame_number) AS gap FROM conv_packets)
 """
@@ -216,7 +238,7 @@ def w1(spark, sf):
 @query(
     "r8_idle_sessions",
     _W1
-    + f""", n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 300000000 THEN 1 ELSE 0 END) OVER (
+    + f""", n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (
    PARTITION BY {_CONV} ORDER BY us, frame_number ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT {_CONV}, min(us) AS start_us, max(us) + 300000000 AS end_us, count(*) AS packets,
   sum(packet_size)::BIGINT AS bytes FROM n GROUP BY {_CONV}, s""",

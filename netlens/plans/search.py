@@ -397,12 +397,7 @@ _TOPS = [("protocol", True), ("src_port", False), ("dst_port", False), ("threat_
     _REC + " UNION ALL ".join(f"SELECT * FROM ({_top_sql(c, t)})" for c, t in _TOPS),
 )
 def a27_tops(spark, sf):
-    r = _records(spark, sf)
-    out = None
-    for c, _ in _TOPS:
-        part = search.top_values(r, c)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return search.top_values(_records(spark, sf), [c for c, _ in _TOPS])
 
 
 @query(

@@ -8,7 +8,7 @@ import ipaddress
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +25,15 @@ CAPTURE_MAGIC = {
 MAX_SNAPLEN = 1_048_576
 ETHERNET, RAW_IP = 1, (12, 101)
 CHUNK = 50_000
-_COLUMNS = [f.name for f in PACKETS.fields]
-_WHOLE = {f.name for f in PACKETS.fields if f.dataType.typeName() in ("integer", "long")}
+_ARROW_TYPES = {
+    "string": pa.string(),
+    "integer": pa.int32(),
+    "long": pa.int64(),
+    "boolean": pa.bool_(),
+    "binary": pa.binary(),
+    "timestamp": pa.timestamp("us", tz="UTC"),
+}
+_ARROW = pa.schema([(f.name, _ARROW_TYPES[f.dataType.typeName()]) for f in PACKETS.fields])
 
 
 def header_fields(content: bytes) -> tuple[str, int, int] | None:
@@ -98,29 +105,26 @@ def _rows(name: str, content: bytes) -> Iterator[dict]:
                 **row,
                 "capture_id": name,
                 "frame_number": number,
-                "ts": pd.Timestamp(micros, unit="us", tz="UTC"),
+                "ts": micros,
                 "packet_size": size,
             }
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in _WHOLE:
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for name, content in zip(pdf["name"], pdf["content"], strict=True):
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, content in zip(batch["name"], batch["content"], strict=True):
             rows: list[dict] = []
-            for row in _rows(name, bytes(content)):
+            for row in _rows(name.as_py(), content.as_py()):
                 rows.append(row)
                 if len(rows) == CHUNK:
-                    yield _frame(rows)
+                    yield _batch(rows)
                     rows = []
             if rows:
-                yield _frame(rows)
+                yield _batch(rows)
 
 
 def read_captures(spark: SparkSession, folder: str, pattern: str = "*.{pcap,cap}") -> DataFrame:
@@ -133,4 +137,4 @@ def read_captures(spark: SparkSession, folder: str, pattern: str = "*.{pcap,cap}
         .where(F.col("length") >= 24)
         .select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("name"), "content")
     )
-    return files.mapInPandas(_parse, PACKETS)
+    return files.mapInArrow(_parse, PACKETS)
