@@ -59,7 +59,21 @@ def r3(spark, sf):
 
 @query("r3_active_connections_sketch")
 def r3_sketch(spark, sf):
-    return live.active_connections(live.connections_by_second(_feed(spark, sf)))
+    return live.active_connections(live.second_metrics(_feed(spark, sf)))
+
+
+@query(
+    "r1_r3_live_metrics",
+    _R1
+    + _R3
+    + """SELECT feed, end_us, packets, bytes, tcp_packets, udp_packets, icmp_packets, other_packets,
+  array_to_string(protocols, ',') AS protocols, round(packets / 5, 6) AS packets_per_second,
+  round(bytes / 5, 6) AS bytes_per_second, round(bytes * 8 / 5, 6) AS bits_per_second, active_connections AS connections
+FROM m JOIN ac USING (feed, end_us)""",
+)
+def r1_r3(spark, sf):
+    m = live.live_metrics(live.second_metrics(_feed(spark, sf)))
+    return rounded(m.withColumn("protocols", F.concat_ws(",", "protocols")))
 
 
 @query(
@@ -112,9 +126,4 @@ UNION ALL SELECT feed, end_us, 'new_protocol', 'medium', 1, p FROM (SELECT feed,
   WHERE NOT list_contains(seen, p)""",
 )
 def w10(spark, sf):
-    feed = _feed(spark, sf)
-    metrics = live.window_metrics(feed).join(
-        live.active_connections_exact(feed).withColumnRenamed("active_connections", "connections"),
-        ["feed", "end_us"],
-    )
-    return rounded(baseline_anomalies(metrics))
+    return rounded(baseline_anomalies(live.live_metrics(live.second_metrics(_feed(spark, sf)))))

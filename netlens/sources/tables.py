@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlens.schema import JOBS, JOB_STATUSES, PACKETS, REPORT_STATUSES, REPORTS
 
@@ -15,7 +16,8 @@ def write_packets(packets: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """The packets table; filters on capture_id, dt and columns reach the scan."""
-    return spark.read.schema(PACKETS.add("dt", "date")).parquet(path)
+    day = T.StructField("dt", T.DateType())
+    return spark.read.schema(T.StructType([*PACKETS.fields, day])).parquet(path)
 
 
 def _known(df: DataFrame, statuses) -> DataFrame:

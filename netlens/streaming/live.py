@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from netlens.functions import net
@@ -115,37 +116,77 @@ def top_talkers(per_source: DataFrame, n: int = 10) -> DataFrame:
     return per_source.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def connections_by_second(live: DataFrame) -> DataFrame:
-    """A distinct-count sketch of source–destination pairs per second: one row of fixed size
-    per second, so the minute below never re-reads packets."""
+def second_metrics(live: DataFrame) -> DataFrame:
+    """One row per feed and second: counts, protocols, and a distinct-count sketch of the
+    source–destination pairs. All sliding metrics follow from these rows."""
+    proto = F.upper("protocol")
     pair = F.concat_ws("\u0000", "src_ip", "dst_ip")
     return (
         live.groupBy("feed", F.window("ts", "1 second").alias("w"))
-        .agg(F.hll_sketch_agg(pair, 14).alias("sketch"))
-        .select("feed", net.us("w.end").alias("second_us"), "sketch")
+        .agg(
+            F.count("*").alias("packets"),
+            F.sum("size").alias("bytes"),
+            *[F.count_if(proto == p).alias(f"{p.lower()}_packets") for p in SHOWN_PROTOCOLS],
+            F.count_if(~proto.isin(*SHOWN_PROTOCOLS)).alias("other_packets"),
+            F.collect_set(proto).alias("protocols"),
+            F.hll_sketch_agg(pair, 14).alias("sketch"),
+        )
+        .withColumn("second_us", net.us("w.end"))
+        .drop("w")
     )
 
 
-def _ends(second: str = "second_us", width: int = ACTIVE):
+def _ends(width: int, second: str = "second_us"):
+    """The ends of the windows a second belongs to."""
     steps = F.sequence(F.lit(0), F.lit(width - 1))
     return F.explode(F.transform(steps, lambda k: F.col(second) + k.cast("long") * 1_000_000))
 
 
-def active_connections(sketches: DataFrame, width: int = ACTIVE) -> DataFrame:
+def active_connections(seconds: DataFrame, width: int = ACTIVE) -> DataFrame:
     """Pairs seen in the last ``width`` seconds at every second, from the sketches."""
     return (
-        sketches.select("feed", _ends(width=width).alias("end_us"), "sketch")
+        seconds.select("feed", _ends(width).alias("end_us"), "sketch")
         .groupBy("feed", "end_us")
         .agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("active_connections"))
     )
 
 
+def live_metrics(seconds: DataFrame, width: int = WIDTH, active: int = ACTIVE) -> DataFrame:
+    """Sliding-window metrics with the active pairs of the last minute, from second rows.
+
+    A second goes to the ends of the ``active`` windows it belongs to; the narrower window
+    takes the youngest ``width`` of them, so one grouping serves both.
+    """
+    counts = ["packets", "bytes", *[f"{p.lower()}_packets" for p in SHOWN_PROTOCOLS], "other_packets"]
+    young = F.col("age") < width
+    placed = seconds.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(active - 1))).alias("age")
+    ).withColumn("end_us", F.col("second_us") + F.col("age").cast("long") * 1_000_000)
+    names = F.flatten(F.collect_list(F.when(young, F.col("protocols"))))
+    return (
+        placed.groupBy("feed", "end_us")
+        .agg(
+            *[F.sum(F.when(young, F.col(c))).alias(c) for c in counts],
+            F.array_sort(F.array_distinct(names)).alias("protocols"),
+            F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("connections"),
+        )
+        .where(F.col("packets").isNotNull())
+        .withColumns(
+            {
+                "packets_per_second": F.col("packets") / width,
+                "bytes_per_second": F.col("bytes") / width,
+                "bits_per_second": F.col("bytes") * 8 / width,
+            }
+        )
+    )
+
+
 def active_connections_exact(live: DataFrame, width: int = ACTIVE) -> DataFrame:
     """The same, counted exactly; pairs are reduced to one row per second first."""
     second = (F.floor(net.us("ts") / 1_000_000).cast("long") + 1) * 1_000_000
     pairs = live.select("feed", second.alias("second_us"), "src_ip", "dst_ip").distinct()
     return (
-        pairs.select("feed", _ends(width=width).alias("end_us"), "src_ip", "dst_ip")
+        pairs.select("feed", _ends(width).alias("end_us"), "src_ip", "dst_ip")
         .distinct()
         .groupBy("feed", "end_us")
         .agg(F.count("*").alias("active_connections"))
@@ -274,7 +315,7 @@ def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
 
 def read_table(spark: SparkSession, table: str, like: DataFrame) -> DataFrame:
     """A sink table read back with the schema of ``like``; empty before the first batch."""
-    schema = like.schema.add("batch_id", "long")
+    schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
     try:
         return spark.read.schema(schema).parquet(table)
     except Exception as e:
@@ -295,44 +336,74 @@ def run_metrics(
     checkpoint: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Write closed windows to ``out/metrics`` and their alerts to ``out/alerts``.
+    """Keep ``out/seconds``, ``out/metrics`` and ``out/alerts`` up to date from one feed.
 
-    Append mode: each window comes once, when the watermark has passed it. Limits are read
-    per batch, so they can change while the query runs. The baseline reads the ten rows
-    before the batch back from the sink, never its own batch, so a replay gives the same.
+    The stream only aggregates to one row per feed and second (append mode: a second comes
+    once, when the watermark has passed it). Sliding windows, the last minute's active
+    pairs, limits and the rolling baseline are worked out per batch from those few rows. A
+    batch reads earlier batches back from the sinks, never its own, so a replay gives the
+    same. Limits are read per batch and may change while the query runs.
     """
     spark = live.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            _write_batch(batch, f"{out}/metrics", batch_id)
-            w = Window.partitionBy("feed").orderBy(F.desc("end_us"))
-            earlier = (
-                read_table(spark, f"{out}/metrics", batch)
-                .where(F.col("batch_id") < batch_id)
-                .withColumn("n", F.row_number().over(w))
-                .where(F.col("n") <= HISTORY)
-                .drop("n", "batch_id")
+            newest = batch.agg(F.max("second_us")).first()[0]
+            if newest is None:
+                return
+            _write_batch(batch, f"{out}/seconds", batch_id)
+            stored = read_table(spark, f"{out}/seconds", batch).where(F.col("batch_id") < batch_id)
+            bounds = batch.groupBy("feed").agg(
+                F.min("second_us").alias("first_us"), F.max("second_us").alias("to_us")
             )
-            marked = earlier.withColumn("new", F.lit(False)).unionByName(
-                batch.withColumn("new", F.lit(True))
+            before = stored.groupBy("feed").agg(F.max("second_us").alias("from_us"))
+            span = bounds.join(before, "feed", "left").withColumn(
+                "from_us", F.coalesce("from_us", F.col("first_us") - 1)
             )
-            found = baseline_anomalies(
-                marked.withColumn("connections", F.lit(None).cast("long"))
-            ).where("new")
-            alerts = threshold_alerts(batch, thresholds()).unionByName(
-                found.select(
-                    "feed", "end_us", "type", "severity", F.lit("anomaly").alias("category"),
-                    F.lit("Anomaly Detected").alias("title"), "value",
-                )
+            # Windows that end after the previous batch also hold seconds from before it.
+            reach = span.select("feed", (F.col("from_us") - ACTIVE * 1_000_000).alias("reach_us"))
+            recent = (
+                stored.drop("batch_id")
+                .join(reach, "feed")
+                .where(F.col("second_us") > F.col("reach_us"))
+                .drop("reach_us")
             )
-            _write_batch(alerts, f"{out}/alerts", batch_id)
+            metrics = (
+                live_metrics(batch.unionByName(recent))
+                .join(span.select("feed", "from_us", "to_us"), "feed")
+                .where((F.col("end_us") > F.col("from_us")) & (F.col("end_us") <= F.col("to_us")))
+                .drop("from_us", "to_us")
+                .persist()
+            )
+            try:
+                _write_batch(metrics, f"{out}/metrics", batch_id)
+                newest_first = Window.partitionBy("feed").orderBy(F.desc("end_us"))
+                earlier = (
+                    read_table(spark, f"{out}/metrics", metrics)
+                    .where(F.col("batch_id") < batch_id)
+                    .withColumn("n", F.row_number().over(newest_first))
+                    .where(F.col("n") <= HISTORY)
+                    .drop("n", "batch_id")
+                )
+                marked = earlier.withColumn("new", F.lit(False)).unionByName(
+                    metrics.withColumn("new", F.lit(True))
+                )
+                found = baseline_anomalies(marked).where("new")
+                alerts = threshold_alerts(metrics, thresholds()).unionByName(
+                    found.select(
+                        "feed", "end_us", "type", "severity", F.lit("anomaly").alias("category"),
+                        F.lit("Anomaly Detected").alias("title"), "value",
+                    )
+                )
+                _write_batch(alerts, f"{out}/alerts", batch_id)
+            finally:
+                metrics.unpersist()
         finally:
             batch.unpersist()
 
     return (
-        window_metrics(live)
+        second_metrics(live)
         .writeStream.outputMode("append")
         .foreachBatch(sink)
         .option("checkpointLocation", checkpoint or f"{checkpoint_root(spark)}/live_metrics")

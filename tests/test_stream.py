@@ -42,17 +42,17 @@ def run(spark, df, mode, name, tmp_path):
     return spark.table(name), q
 
 
-@pytest.mark.parametrize("name", ["window_metrics", "talkers", "source_activity", "connection_table", "connections_by_second"])
+@pytest.mark.parametrize("name", ["window_metrics", "talkers", "source_activity", "connection_table", "second_metrics"])
 def test_complete_mode_equals_table(spark, feed, tmp_path, name):
     stream, table = feed
-    step = live.active_connections if name == "connections_by_second" else (lambda df: df)
+    step = live.live_metrics if name == "second_metrics" else (lambda df: df)
     got, _ = run(spark, getattr(live, name)(stream), "complete", f"c_{name}", tmp_path)
     assert bag(step(got)) == bag(step(getattr(live, name)(table)))
 
 
 def test_sketch_equals_exact_count(feed):
     _, table = feed
-    got = live.active_connections(live.connections_by_second(table))
+    got = live.active_connections(live.second_metrics(table))
     assert bag(got) == bag(live.active_connections_exact(table))
 
 
@@ -87,14 +87,15 @@ def test_metrics_and_alerts_sink(spark, feed, tmp_path):
     q = live.run_metrics(stream, out, lambda: limits, checkpoint=str(tmp_path / "cp"), availableNow=True)
     q.awaitTermination(180)
     last = table.agg(F.max(net.us("ts"))).first()[0] - 10_000_000
-    whole = live.window_metrics(table).where(F.col("end_us") <= last)
+    whole = live.live_metrics(live.second_metrics(table)).where(F.col("end_us") <= last)
+    assert bag(whole.drop("connections")) == bag(live.window_metrics(table).where(F.col("end_us") <= last))
     metrics = live.read_table(spark, f"{out}/metrics", whole)
     assert bag(metrics.drop("batch_id")) == bag(whole)
     history = live.metrics_history(metrics, 5).collect()
     assert len(history) == 5 and history[0]["end_us"] == whole.agg(F.max("end_us")).first()[0]
     alerts = spark.read.parquet(f"{out}/alerts")
     assert alerts.where("type = 'high_pps'").count() == live.threshold_alerts(whole, limits).count() > 0
-    want = baseline_anomalies(whole.withColumn("connections", F.lit(None).cast("long"))).count()
+    want = baseline_anomalies(whole).count()
     assert alerts.where("category = 'anomaly'").count() == want
 
 
