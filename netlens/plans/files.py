@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from netlens.operators import report, screen
+from netlens.plans.detection import _TRIAGE
 from netlens.plans.registry import query
 from netlens.plans.shape import rounded
 from netlens.sources import derived
@@ -143,6 +144,29 @@ def s11(spark, sf):
     return report.numbered(report.export_rows(report.documents(derived.packets(spark, sf))))
 
 
+@query(
+    "s11_export_counts",
+    f""", h AS (SELECT capture_id, ip, count(*) AS n, sum(packet_size)::BIGINT AS b FROM (
+   SELECT capture_id, src_ip AS ip, packet_size FROM packets UNION ALL SELECT capture_id, dst_ip, packet_size FROM packets) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, ip) AS rank FROM h)
+SELECT capture_id, 'protocols' AS section, protocol AS item, count(*)::VARCHAR AS value FROM packets GROUP BY 1, 3
+UNION ALL SELECT capture_id, 'top_talkers', ip, b::VARCHAR FROM r WHERE rank <= 10
+UNION ALL SELECT capture_id, 'findings', type || '/' || severity, count(*)::VARCHAR FROM ({_TRIAGE}) GROUP BY capture_id, type, severity
+UNION ALL SELECT capture_id, 'traffic_stats', 'packets', count(*)::VARCHAR FROM packets GROUP BY 1
+UNION ALL SELECT capture_id, 'traffic_stats', 'bytes', sum(packet_size)::BIGINT::VARCHAR FROM packets GROUP BY 1
+UNION ALL SELECT capture_id, 'tcp', 'resets', (count(*) FILTER (tcp_flags & 4 <> 0))::VARCHAR FROM packets GROUP BY 1
+UNION ALL SELECT capture_id, 'http', 'requests', count(http_method)::VARCHAR FROM packets GROUP BY 1
+UNION ALL SELECT capture_id, 'dns', 'queries', count(dns_query)::VARCHAR FROM packets GROUP BY 1 HAVING count(dns_query) > 0""",
+)
+def s11_counts(spark, sf):
+    rows = report.export_rows(report.documents(derived.packets(spark, sf)))
+    listed = F.col("section").isin("protocols", "top_talkers", "findings")
+    single = F.concat_ws(".", "section", "item").isin(
+        "traffic_stats.packets", "traffic_stats.bytes", "tcp.resets", "http.requests", "dns.queries"
+    )
+    return rows.where(listed | single)
+
+
 @query(
     "c9_report_summaries",
     """, p AS (SELECT capture_id, protocol, count(*) AS n FROM packets GROUP BY 1, 2),

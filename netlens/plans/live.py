@@ -57,7 +57,8 @@ def r3(spark, sf):
     return live.active_connections_exact(_feed(spark, sf))
 
 
-@query("r3_active_connections_sketch")
+# A sketch of few pairs is exact, so the exact SQL applies here.
+@query("r3_active_connections_sketch", _R3 + "SELECT * FROM ac")
 def r3_sketch(spark, sf):
     return live.active_connections(live.second_metrics(_feed(spark, sf)))
 
