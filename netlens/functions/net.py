@@ -104,11 +104,15 @@ def _ipv6_in(ip: Column, net: ipaddress.IPv6Network) -> Column:
 
 
 def either_in_cidr(cidr: str, src: str = "src_ip", dst: str = "dst_ip") -> Column:
-    """Either side inside the block, on rows where both sides are addresses."""
-    both = (ip_num(src).isNotNull() | _col(src).contains(":")) & (
-        ip_num(dst).isNotNull() | _col(dst).contains(":")
-    )
-    return both & (in_cidr(src, cidr) | in_cidr(dst, cidr))
+    """Either side inside the block, on rows where both sides are addresses.
+
+    The block test comes first: most rows fail it and are done.
+    """
+
+    def is_address(c: str) -> Column:
+        return ip_num(c).isNotNull() | _col(c).contains(":")
+
+    return (in_cidr(src, cidr) & is_address(dst)) | (in_cidr(dst, cidr) & is_address(src))
 
 
 def ip_class(ip: Column | str) -> Column:
