@@ -20,6 +20,7 @@ LEAST = {"assign": 6, "access": 20}
 
 #: What the models judge: long runs of key characters with a digit and a letter in them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Log-likelihood ratio (nats) per pair of characters, and in all, from which a run is random.
 MEAN_RATIO, TOTAL_RATIO = 0.7, 16.0
 
@@ -73,18 +74,22 @@ class Models:
         return float(each.sum()), float(each.mean())
 
     def random(self, run: str) -> bool:
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            return False
         total, mean = self.score(run)
         return total >= TOTAL_RATIO and mean >= MEAN_RATIO
 
 
+def candidates(text: str) -> Iterator[re.Match]:
+    """Runs that the models judge."""
+    return (m for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]))
+
+
 def counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Character pairs of the labelled samples, over all texts: of the values that the fixed
-    patterns find (random strings), and of all other key characters (identifiers and words).
-    Each partition hands on its sums only; their number is fixed by the alphabet."""
+    patterns find (random strings), and of all other key characters (identifiers and words) but
+    those that await judgement. Each partition hands on its sums only; their number is fixed by the alphabet."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = lambda run: _pairs(_CODE[np.frombuffer(run.encode("utf-8", "surrogatepass"), np.uint8)])
         random, total = np.zeros(SIZE * SIZE, np.int64), np.zeros(SIZE * SIZE, np.int64)
         for batch in pieces(batches, 0):
             data, offsets = bytes_of(batch.column(0))
@@ -94,9 +99,14 @@ def counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndar
             across = (codes[borders - 1] >= 0) & (codes[borders] >= 0)  # pairs of two texts
             np.subtract.at(total, codes[borders - 1][across].astype(np.int64) * SIZE + codes[borders][across], 1)
             for text in batch.column(0).to_pylist():
-                for span in base_spans(text or ""):
-                    random += _pairs(_CODE[np.frombuffer(_secret(text, span).encode(), np.uint8)])
-        for name, table in (("random", random), ("ordinary", np.maximum(total - random, 0))):
+                base = base_spans(text or "")
+                for span in base:
+                    random += coded(_secret(text, span))
+                    total -= coded(text[span[0] : span[2]])
+                for m in candidates(text or ""):
+                    if not any(s < m.end() and m.start() < e for s, _, e in base):
+                        total -= coded(m[0])
+        for name, table in (("random", random), ("ordinary", np.maximum(total, 0))):
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(table[at])], ["model", "pair", "n"])
 
@@ -113,7 +123,7 @@ def spans_of(text: str, models: Models | None) -> list[tuple[int, str, int]]:
     base = base_spans(text)
     more = []
     if models is not None:
-        for m in CANDIDATE.finditer(text):
+        for m in candidates(text):
             if not any(s < m.end() and m.start() < e for s, _, e in base) and models.random(m[0]):
                 more.append((m.start(), "markov", m.end()))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
