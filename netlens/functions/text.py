@@ -27,19 +27,35 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def byte_counts(content) -> Column:
     """Distinct bytes of a text or binary value with their counts: array<struct<byte, n>>.
 
-    ISO-8859-1 maps each byte to one character, so counting characters counts bytes.
+    ISO-8859-1 maps each byte to one character, so counting characters counts bytes: they are
+    sorted, and a count is the distance between the ends of two runs.
     """
     chars = F.decode(_col(content).cast("binary"), "ISO-8859-1")
-    total = F.length(chars)
-    return F.transform(
-        F.array_distinct(F.split(chars, "")),
-        lambda c: F.struct(
-            c.alias("byte"), (total - F.length(F.replace(chars, c, F.lit("")))).alias("n")
-        ),
-    )
+    ordered = F.array_sort(F.filter(F.split(chars, ""), lambda c: c != ""))
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i)))
+        return _let(
+            last,
+            lambda ends: F.transform(
+                ends,
+                lambda at, k: F.struct(
+                    F.get(s, at - 1).alias("byte"), (at - F.coalesce(F.get(ends, k - 1), F.lit(0))).alias("n")
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<byte: string, n: int>>")
+    return _let(ordered, lambda s: F.when(F.size(s) > 0, runs(s)).when(F.size(s) == 0, none))
 
 
 def entropy_of_counts(counts: Column) -> Column:
