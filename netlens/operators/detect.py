@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from netlens.functions import net, text
 from netlens.functions.measures import severity_score
 from netlens.operators import dns, tcp, traffic
+from netlens.operators.findings import for_every
 from netlens.schema import FINDINGS
 
 # Detection strings and patterns.
@@ -472,12 +473,26 @@ def unusual_l3(packets: DataFrame, percent: float = L3_SHARE_PERCENT, common=(1,
     )
 
 
-def risk_score(findings: DataFrame) -> DataFrame:
-    """Per capture: the severity scores summed, at most 1."""
-    return findings.groupBy("capture_id").agg(
+def risk_score(findings: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """Per capture: the severity scores summed, at most 1; 0 for listed captures without any."""
+    counted = findings.groupBy("capture_id").agg(
         F.count("*").alias("findings"),
         F.round(F.least(F.lit(1.0), F.sum(severity_score("severity"))), 6).alias("risk_score"),
     )
+    return for_every(counted, captures)
+
+
+def triage_issues(packets: DataFrame) -> DataFrame:
+    """All that the triage reports: DNS, TCP, security and load issues of every capture."""
+    parts = [
+        packet_findings(packets, triage_rules()),
+        port_scans(packets),
+        suspicious_dns(packets),
+        dns_timeouts(packets),
+        retransmission_alerts(packets),
+        load_issues(packets),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def security_triage(packets: DataFrame) -> DataFrame:

@@ -23,6 +23,15 @@ RECOMMENDATIONS = (
 )
 
 
+def for_every(counted: DataFrame, captures: DataFrame | None) -> DataFrame:
+    """Counts per capture with a row of zeros for the captures that have none. Without a list of
+    captures only those with findings are known."""
+    if captures is None:
+        return counted
+    listed = captures.select("capture_id").distinct()
+    return listed.join(counted, "capture_id", "left").na.fill(0)
+
+
 def counts_by(findings: DataFrame, column: str) -> DataFrame:
     return findings.groupBy("capture_id", column).agg(F.count("*").alias("findings"))
 
@@ -45,18 +54,19 @@ def counts_by_category(findings: DataFrame) -> DataFrame:
     )
 
 
-def severity_totals(findings: DataFrame) -> DataFrame:
+def severity_totals(findings: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     s = F.lower("severity")
-    return findings.groupBy("capture_id").agg(
+    counted = findings.groupBy("capture_id").agg(
         F.count("*").alias("findings"),
         *[F.count_if(s == x).alias(x) for x in ("critical", "high", "medium", "low")],
         F.count_if(F.col("detector") == "M6").alias("anomalies"),
     )
+    return for_every(counted, captures)
 
 
-def risk_level(findings: DataFrame) -> DataFrame:
+def risk_level(findings: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     c, h = F.col("critical"), F.col("high")
-    return severity_totals(findings).withColumn(
+    return severity_totals(findings, captures).withColumn(
         "risk_level",
         F.when(c > 0, F.lit("HIGH"))
         .when(h > 3, F.lit("MEDIUM-HIGH"))
@@ -65,7 +75,7 @@ def risk_level(findings: DataFrame) -> DataFrame:
     )
 
 
-def recommendations(findings: DataFrame) -> DataFrame:
+def recommendations(findings: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """The recommendation rows that apply to each capture."""
     rows = F.array_compact(
         F.array(
@@ -78,10 +88,10 @@ def recommendations(findings: DataFrame) -> DataFrame:
             ]
         )
     )
-    return severity_totals(findings).select("capture_id", F.inline(rows))
+    return severity_totals(findings, captures).select("capture_id", F.inline(rows))
 
 
-def security_summary(findings: DataFrame) -> DataFrame:
+def security_summary(findings: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """Suspicious-address, scan and anomaly counts, and the severities of the first and last."""
     kind = (
         F.when(F.col("detector") == "D2", F.lit("scan"))
@@ -89,7 +99,7 @@ def security_summary(findings: DataFrame) -> DataFrame:
         .otherwise("anomaly")
     )
     rated = F.when(F.col("kind") != "scan", F.lower("severity"))
-    return (
+    counted = (
         findings.withColumn("kind", kind)
         .groupBy("capture_id")
         .agg(
@@ -100,14 +110,15 @@ def security_summary(findings: DataFrame) -> DataFrame:
             F.count("*").alias("total_security_issues"),
         )
     )
+    return for_every(counted, captures)
 
 
-def overall(findings: DataFrame) -> DataFrame:
+def overall(findings: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """Overall severity min(1, 0.1·n) and the deep-inspection risk word."""
     n = F.col("findings")
+    counted = findings.groupBy("capture_id").agg(F.count("*").alias("findings"))
     return (
-        findings.groupBy("capture_id")
-        .agg(F.count("*").alias("findings"))
+        for_every(counted, captures)
         .withColumns(
             {
                 "overall_severity": F.least(F.lit(1.0), n * 0.1),

@@ -64,10 +64,17 @@ def deep_sections(packets: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def merge_sections(document: DataFrame, sections: DataFrame) -> DataFrame:
-    """Add or replace sections of stored documents; captures keep what is not replaced."""
+    """Add or replace sections of stored documents. A capture that is not in ``sections``, or
+    has NULL there, keeps what it had; a new capture is added."""
     fresh = [c for c in sections.columns if c != "capture_id"]
-    kept = [c for c in document.columns if c not in fresh]
-    return document.select(*kept).join(sections, "capture_id", "left")
+    shared = [c for c in fresh if c in document.columns]
+    renamed = sections.withColumnsRenamed({c: f"_new_{c}" for c in shared})
+    merged = document.join(renamed, "capture_id", "full")
+    return merged.select(
+        "capture_id",
+        *[F.coalesce(f"_new_{c}", c).alias(c) if c in shared else F.col(c) for c in document.columns if c != "capture_id"],
+        *[c for c in fresh if c not in shared],
+    )
 
 
 def documents(packets: DataFrame, findings: DataFrame | None = None) -> DataFrame:

@@ -295,10 +295,44 @@ def d17(spark, sf):
 @query(
     "d19_overall_severity",
     f"""SELECT capture_id, count(*) AS findings, round(least(1.0, count(*) * 0.1::DOUBLE), 6) AS overall_severity,
-  CASE WHEN count(*) = 0 THEN 'LOW' WHEN count(*) < 5 THEN 'MEDIUM' ELSE 'HIGH' END AS deep_risk FROM ({_TRIAGE}) GROUP BY 1""",
+  CASE WHEN count(*) = 0 THEN 'LOW' WHEN count(*) < 5 THEN 'MEDIUM' ELSE 'HIGH' END AS deep_risk
+FROM ({_ALL}) WHERE detector IN ('D1', 'D2', 'D3', 'D5', 'D6', 'D7') GROUP BY 1""",
 )
 def d19(spark, sf):
-    return rounded(findings.overall(detect.security_triage(derived.packets(spark, sf))))
+    return rounded(findings.overall(detect.triage_issues(derived.packets(spark, sf))))
+
+
+# A second capture list: the four of the view and one without any packet of interest.
+_QUIET = "(SELECT DISTINCT capture_id FROM packets UNION ALL SELECT 'quiet')"
+
+
+def _captures(packets):
+    quiet = packets.sparkSession.range(1).select(F.lit("quiet").alias("capture_id"))
+    return packets.select("capture_id").distinct().unionByName(quiet)
+
+
+@query(
+    "d4_risk_of_every_capture",
+    f"""SELECT c.capture_id, count(f.severity) AS findings, round(least(1.0, coalesce(sum(CASE severity WHEN 'critical' THEN 0.4 WHEN 'high' THEN 0.3
+  WHEN 'medium' THEN 0.2 WHEN 'low' THEN 0.1 END), 0))::DOUBLE, 6) AS risk_score
+FROM {_QUIET} c LEFT JOIN ({_TRIAGE}) f ON c.capture_id = f.capture_id GROUP BY 1""",
+)
+def d4_every(spark, sf):
+    p = derived.packets(spark, sf)
+    return detect.risk_score(detect.security_triage(p), _captures(p))
+
+
+@query(
+    "a31_risk_level_of_every_capture",
+    f"""SELECT c.capture_id, count(f.severity) AS findings, count(*) FILTER (severity = 'critical') AS critical,
+  count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+  0::BIGINT AS anomalies, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'HIGH' WHEN count(*) FILTER (severity = 'high') > 3
+  THEN 'MEDIUM-HIGH' WHEN count(*) FILTER (severity = 'high') > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
+FROM {_QUIET} c LEFT JOIN ({_TRIAGE}) f ON c.capture_id = f.capture_id GROUP BY 1""",
+)
+def a31_every(spark, sf):
+    p = derived.packets(spark, sf)
+    return findings.risk_level(detect.security_triage(p), _captures(p))
 
 
 @query(

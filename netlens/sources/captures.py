@@ -23,7 +23,12 @@ CAPTURE_MAGIC = {
     b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000),
 }
 MAX_SNAPLEN = 1_048_576
-ETHERNET, RAW_IP = 1, (12, 101)
+# Link types; IPv6 extension headers; block types of the newer capture format.
+ETHERNET, RAW_IP, LOOPBACK, LINUX_COOKED, LINUX_COOKED_2 = 1, (12, 101, 228, 229), (0, 108), 113, 276
+IPV6_FRAGMENT, IPV6_EXTENSIONS = 44, (0, 43, 44, 60, 135)
+NG_SECTION, NG_INTERFACE, NG_PACKET, NG_SIMPLE = 0x0A0D0D0A, 1, 6, 3
+NG_ORDER = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
+NG_RESOLUTION = 9
 CHUNK = 50_000
 _ARROW_TYPES = {
     "string": pa.string(),
@@ -47,6 +52,20 @@ def header_fields(content: bytes) -> tuple[str, int, int] | None:
     return known[0], known[1], link
 
 
+def _after_extensions(proto: int, body: bytes) -> tuple[int, int, bytes]:
+    """Protocol, fragment offset and body behind the extension headers of IPv6."""
+    offset = 0
+    while proto in IPV6_EXTENSIONS and len(body) >= 8:
+        if proto == IPV6_FRAGMENT:
+            offset, size = int.from_bytes(body[2:4], "big") >> 3, 8
+        else:
+            size = (body[1] + 1) * 8
+        proto, body = body[0], body[size:]
+        if offset:
+            break
+    return proto, offset, body
+
+
 def _packet(frame: bytes, link: int) -> dict | None:
     if link == ETHERNET:
         kind, at = int.from_bytes(frame[12:14], "big"), 14
@@ -58,14 +77,24 @@ def _packet(frame: bytes, link: int) -> dict | None:
             return None
     elif link in RAW_IP:
         at, vlan = 0, None
+    elif link in LOOPBACK:
+        at, vlan = 4, None
+    elif link == LINUX_COOKED:
+        at, vlan = 16, None
+    elif link == LINUX_COOKED_2:
+        at, vlan = 20, None
     else:
         return None
     ip = frame[at:]
     version = ip[0] >> 4 if ip else 0
+    offset = 0
     if version == 4 and len(ip) >= 20:
         proto, src, dst, body = ip[9], ip[12:16], ip[16:20], ip[(ip[0] & 15) * 4 : int.from_bytes(ip[2:4], "big") or None]
+        offset = int.from_bytes(ip[6:8], "big") & 0x1FFF
     elif version == 6 and len(ip) >= 40:
-        proto, src, dst, body = ip[6], ip[8:24], ip[24:40], ip[40:]
+        size = int.from_bytes(ip[4:6], "big")
+        proto, src, dst, body = ip[6], ip[8:24], ip[24:40], ip[40 : 40 + size if size else None]
+        proto, offset, body = _after_extensions(proto, body)
     else:
         return None
     row = {
@@ -75,6 +104,8 @@ def _packet(frame: bytes, link: int) -> dict | None:
         "protocol": IP_PROTOCOLS.get(proto, "OTHER"),
         "vlan_id": vlan,
     }
+    if offset:  # a later fragment has no transport header
+        return row
     if proto == 6 and len(body) >= 20:
         row["src_port"], row["dst_port"], row["tcp_seq"], row["tcp_ack"] = struct.unpack("!HHII", body[:12])
         row["tcp_flags"], row["tcp_window"] = body[13], int.from_bytes(body[14:16], "big")
@@ -88,26 +119,79 @@ def _packet(frame: bytes, link: int) -> dict | None:
     return row
 
 
-def _rows(name: str, content: bytes) -> Iterator[dict]:
-    header = header_fields(content)
-    if header is None:
-        return
-    order, fractions, link = header
-    at, number = 24, 0
+def _classic(content: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """Link type, time in microseconds, size on the wire and bytes of every frame."""
+    order, fractions, link = header_fields(content)
+    at = 24
     while at + 16 <= len(content):
         seconds, part, kept, size = struct.unpack(order + "IIII", content[at : at + 16])
-        frame = content[at + 16 : at + 16 + kept]
-        at, number = at + 16 + kept, number + 1
+        yield link, seconds * 1_000_000 + part * 1_000_000 // fractions, size, content[at + 16 : at + 16 + kept]
+        at += 16 + kept
+
+
+def _unit(order: str, options: bytes) -> int:
+    """Time units per second among the options of an interface (a million if not told)."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack(order + "HH", options[at : at + 4])
+        if code == NG_RESOLUTION and size:
+            exponent = options[at + 4]
+            return 1 << (exponent & 0x7F) if exponent & 0x80 else 10**exponent
+        at += 4 + (size + 3) // 4 * 4
+    return 1_000_000
+
+
+def _blocks(content: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """The same for captures made of blocks; a simple packet has no time and is taken as 0."""
+    at, order, links = 0, "<", []
+    while at + 12 <= len(content):
+        if content[at : at + 4] == NG_SECTION.to_bytes(4, "little"):
+            order, links = NG_ORDER.get(content[at + 8 : at + 12], order), []
+        kind, size = struct.unpack(order + "II", content[at : at + 8])
+        if size < 12:
+            return
+        body = content[at + 8 : at + size - 4]
+        if kind == NG_INTERFACE and len(body) >= 8:
+            links.append((struct.unpack(order + "H", body[:2])[0], _unit(order, body[8:])))
+        elif kind == NG_PACKET and len(body) >= 20:
+            source, high, low, kept, wire = struct.unpack(order + "IIIII", body[:20])
+            if source < len(links):
+                link, unit = links[source]
+                yield link, ((high << 32) | low) * 1_000_000 // unit, wire, body[20 : 20 + kept]
+        elif kind == NG_SIMPLE and len(body) >= 4 and links:
+            wire = struct.unpack(order + "I", body[:4])[0]
+            yield links[0][0], 0, wire, body[4 : 4 + wire]
+        at += size
+
+
+def frames(content: bytes) -> Iterator[tuple[int, int, int, bytes]] | None:
+    """The frames of a capture of either format; None for any other file."""
+    if header_fields(content) is not None:
+        return _classic(content)
+    return _blocks(content) if content[:4] == NG_SECTION.to_bytes(4, "little") and content[8:12] in NG_ORDER else None
+
+
+def _rows(name: str, content: bytes) -> Iterator[dict]:
+    for number, (link, micros, size, frame) in enumerate(frames(content) or (), 1):
         row = _packet(frame, link)
         if row is not None:
-            micros = seconds * 1_000_000 + part * 1_000_000 // fractions
-            yield {
-                **row,
-                "capture_id": name,
-                "frame_number": number,
-                "ts": micros,
-                "packet_size": size,
-            }
+            yield {**row, "capture_id": name, "frame_number": number, "ts": micros, "packet_size": size}
+
+
+def _status(name: str, content: bytes) -> dict:
+    found = frames(content)
+    if found is None:
+        return {"capture_id": name, "frames": 0, "packets": 0, "skipped": 0, "reason": "no capture"}
+    total = read = 0
+    links = set()
+    for link, _, _, frame in found:
+        total += 1
+        if _packet(frame, link) is not None:
+            read += 1
+        else:
+            links.add(link)
+    reason = "not IP, link types " + ", ".join(map(str, sorted(links))) if links else None
+    return {"capture_id": name, "frames": total, "packets": read, "skipped": total - read, "reason": reason}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -127,14 +211,32 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(rows)
 
 
-def read_captures(spark: SparkSession, folder: str, pattern: str = "*.{pcap,cap}") -> DataFrame:
-    """Packets of every capture in the folder; files that are no captures give no rows."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .where(F.col("length") >= 24)
-        .select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("name"), "content")
-    )
-    return files.mapInArrow(_parse, PACKETS)
+def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Contents by path relative to the folder, which no two files share."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    inside = F.substring_index("path", f"{root}/", -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select(inside.alias("name"), "length", "content")
+
+
+def read_captures(spark: SparkSession, folder: str, pattern: str = "*.{pcap,cap,pcapng}") -> DataFrame:
+    """Packets of every capture in the folder; ``capture_id`` is the path below it. Files that
+    are no captures and frames that hold no IP give no rows: ``read_status`` counts them."""
+    files = _files(spark, folder, pattern).where(F.col("length") >= 24)
+    return files.select("name", "content").mapInArrow(_parse, PACKETS)
+
+
+STATUS = "capture_id string, frames long, packets long, skipped long, reason string"
+
+
+def read_status(spark: SparkSession, folder: str, pattern: str = "*.{pcap,cap,pcapng}") -> DataFrame:
+    """One row per file: frames, packets read, frames skipped and why."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_status(n.as_py(), c.as_py()) for n, c in zip(batch["name"], batch["content"], strict=True)]
+            kinds = [("capture_id", pa.string()), ("frames", pa.int64()), ("packets", pa.int64()), ("skipped", pa.int64()), ("reason", pa.string())]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    return _files(spark, folder, pattern).select("name", "content").mapInArrow(count, STATUS)

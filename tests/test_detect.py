@@ -82,3 +82,15 @@ def test_incident_hosts_rank_severity(spark):
     )
     r = one(graph.incident_hosts(alerts))
     assert (r["max_severity"], r["label"], r["alerts"]) == ("high", "A, B", 2)
+
+
+def test_captures_without_findings_have_rows(packets):
+    quiet = packets({})
+    none = detect.packet_findings(quiet, detect.tcp_flags())
+    assert one(detect.risk_score(none, quiet))["risk_score"] == 0
+    r = one(findings.risk_level(none, quiet))
+    assert (r["risk_level"], r["findings"], r["critical"]) == ("LOW", 0, 0)
+    assert one(findings.overall(none, quiet))["deep_risk"] == "LOW"
+    assert len(findings.recommendations(none, quiet).collect()) == 3
+    assert one(findings.security_summary(none, quiet))["total_security_issues"] == 0
+    assert findings.risk_level(none).count() == 0

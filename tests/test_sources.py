@@ -59,7 +59,7 @@ def test_binary_captures(spark, tmp_path):
     (tmp_path / "text.pcap").write_bytes(b"not a capture, only text of some length")
     (tmp_path / "note.txt").write_bytes(_capture())
     rows = captures.read_captures(spark, str(tmp_path)).orderBy("capture_id", "frame_number").collect()
-    assert [(r["capture_id"], r["frame_number"]) for r in rows] == [("a", 1), ("a", 3), ("b", 1), ("b", 3)]
+    assert [(r["capture_id"], r["frame_number"]) for r in rows] == [("a.pcap", 1), ("a.pcap", 3), ("b.cap", 1), ("b.cap", 3)]
     r = rows[0]
     assert (r["src_ip"], r["dst_port"], r["tcp_flags"], r["tcp_seq"], bytes(r["payload"])) == ("10.0.0.1", 80, 24, 7, b"GET / HTTP/1.1")
     types = {x["path"].rsplit("/", 1)[1]: x for x in screen.file_types(screen.read_files(spark, str(tmp_path))).collect()}
@@ -68,6 +68,54 @@ def test_binary_captures(spark, tmp_path):
     assert not types["note.txt"]["extension_ok"]
 
 
+def _udp(source, offset=0, body=b"hello"):
+    datagram = struct.pack("!HHHH", source, 53, 8 + len(body), 0) + body
+    return struct.pack("!BBHHHBBH", 0x45, 0, 20 + len(datagram), 7, offset, 64, 17, 0) + bytes([10, 0, 0, 1, 10, 0, 0, 2]) + datagram
+
+
+def test_later_fragments_have_no_ports():
+    first, later = captures._packet(_udp(4000, 0x2000), 101), captures._packet(_udp(4000, 100), 101)
+    assert (first["src_port"], first["payload"]) == (4000, b"hello")
+    assert later["protocol"] == "UDP" and "src_port" not in later
+
+
+def test_ipv6_is_cut_to_its_length_and_extensions_are_passed():
+    datagram = struct.pack("!HHHH", 9, 53, 10, 0) + b"ab"
+    hop = bytes([17, 0]) + bytes(6)
+    packet = struct.pack("!IHBB", 6 << 28, len(hop + datagram), 0, 64) + bytes(15) + b"\1" + bytes(15) + b"\2" + hop + datagram + b"trailer"
+    row = captures._packet(packet, 101)
+    assert (row["ip_proto"], row["src_port"], row["payload"]) == (17, 9, b"ab")
+
+
+def _block(kind, body):
+    body += b"\0" * (-len(body) % 4)
+    size = struct.pack("<I", len(body) + 12)
+    return struct.pack("<I", kind) + size + body + size
+
+
+def test_block_captures_and_file_status(spark, tmp_path):
+    frame = _udp(4001)
+    blocks = _block(captures.NG_SECTION, b"\x4d\x3c\x2b\x1a" + struct.pack("<HHq", 1, 0, -1))
+    blocks += _block(1, struct.pack("<HHI", 101, 0, 0) + struct.pack("<HHB", 9, 1, 3) + bytes(3)) + _block(1, struct.pack("<HHI", 147, 0, 0))
+    blocks += _block(6, struct.pack("<IIIII", 0, 0, 1500, len(frame), 900) + frame) + _block(6, struct.pack("<IIIII", 1, 0, 0, 4, 4) + b"abcd")
+    for day in ("day1", "day2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "cap.pcapng").write_bytes(blocks)
+    (tmp_path / "odd.pcap").write_bytes(b"xx")
+    rows = captures.read_captures(spark, str(tmp_path)).orderBy("capture_id").collect()
+    assert [(r["capture_id"], r["frame_number"], r["src_port"], r["packet_size"]) for r in rows] == [(f"{d}/cap.pcapng", 1, 4001, 900) for d in ("day1", "day2")]
+    assert captures.read_captures(spark, str(tmp_path)).selectExpr("unix_micros(ts) AS us").first()["us"] == 1_500_000
+    status = {r["capture_id"]: (r["frames"], r["packets"], r["skipped"], r["reason"]) for r in captures.read_status(spark, str(tmp_path)).collect()}
+    assert status["day1/cap.pcapng"] == (2, 1, 1, "not IP, link types 147") and status["odd.pcap"] == (0, 0, 0, "no capture")
+
+
+def test_merging_keeps_what_is_not_replaced(spark):
+    old = spark.createDataFrame([("a", 1, 5), ("b", 2, 6)], "capture_id string, tcp int, udp int")
+    new = spark.createDataFrame([("a", 9, "x"), ("c", 3, "y")], "capture_id string, tcp int, dns string")
+    got = {tuple(r) for r in report.merge_sections(old, new).select("capture_id", "tcp", "udp", "dns").collect()}
+    assert got == {("a", 9, 5, "x"), ("b", 2, 6, None), ("c", 3, None, "y")}
+
+
 def test_packets_table_prunes(spark, tmp_path, packets):
     p = packets({"at": 0}, {"at": 90_000}, {"capture_id": "d"})
     tables.write_packets(p, str(tmp_path / "t"))
