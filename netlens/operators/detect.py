@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlens.functions import net, text
 from netlens.functions.measures import severity_score
@@ -482,19 +483,6 @@ def risk_score(findings: DataFrame, captures: DataFrame | None = None) -> DataFr
     return for_every(counted, captures)
 
 
-def triage_issues(packets: DataFrame) -> DataFrame:
-    """All that the triage reports: DNS, TCP, security and load issues of every capture."""
-    parts = [
-        packet_findings(packets, triage_rules()),
-        port_scans(packets),
-        suspicious_dns(packets),
-        dns_timeouts(packets),
-        retransmission_alerts(packets),
-        load_issues(packets),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def security_triage(packets: DataFrame) -> DataFrame:
     """The findings the triage risk score is computed from."""
     return (
@@ -504,20 +492,134 @@ def security_triage(packets: DataFrame) -> DataFrame:
     )
 
 
-def all_findings(packets: DataFrame) -> DataFrame:
-    """Every detector in one table, with a recommendation per kind."""
-    parts = [
-        packet_findings(packets, [*triage_rules(), *deep_rules()]),
-        port_scans(packets),
-        suspicious_dns(packets),
-        dns_timeouts(packets),
-        retransmission_alerts(packets),
-        load_issues(packets),
-        performance_issues(packets),
-        large_uploads(packets),
-        covert_icmp(packets),
-        unusual_l3(packets),
+def _group_counts(packets: DataFrame) -> DataFrame:
+    """What the rules about groups other than flows count, from one reading: scanning sources,
+    receiving destinations, and one row per capture (acknowledgement numbers and IP protocols
+    rolled up). The groupings share one shuffle; payloads enter it as lengths only."""
+    size = F.coalesce(F.octet_length("payload"), F.lit(0))
+    name, icmp = F.col("dns_query"), F.upper("protocol") == "ICMP"
+    syn = _is_tcp() & net.has_flags(net.TCP_FLAGS["SYN"])
+    acked = _is_tcp() & net.has_flags(net.TCP_FLAGS["ACK"])
+    slim = packets.select(
+        "capture_id", "packet_size", "ip_proto", size.alias("size"), syn.alias("syn"), acked.alias("acked"), icmp.alias("icmp"),
+        ((F.col("dns_qr") == 0) & (F.length(name) > 20) & name.rlike("[0-9]")).alias("odd"),
+        F.when(syn, F.col("src_ip")).alias("scanner"), F.when(syn, F.col("dst_port")).alias("port"),
+        F.when(size > 0, F.col("dst_ip")).alias("receiver"), F.when(acked, F.col("tcp_ack")).alias("ack"),
+    )
+    sets = [("capture_id", "scanner", "port"), ("capture_id", "receiver"), ("capture_id", "ack"), ("capture_id", "ip_proto")]
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    counted = slim.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        *[(F.grouping(c) == 0).alias(f"by_{c}") for c in columns[1:]],
+        F.count("*").alias("n"), F.sum("packet_size").alias("bytes"), F.sum("size").alias("uploaded"), F.count_if("syn").alias("syns"),
+        F.count_if("acked").alias("acks"), F.count_if("odd").alias("odd"), F.count_if("icmp").alias("icmps"), F.max(F.when(F.col("icmp"), F.col("size"))).alias("icmp_size"),
+    )
+    whole = F.col("by_ip_proto")
+    kind = F.when(F.col("by_scanner"), "scanner").when(F.col("by_receiver"), "receiver").otherwise("capture")
+    total = lambda c: F.sum(F.when(whole, F.col(c))).alias(c)
+    return counted.groupBy("capture_id", kind.alias("kind"), F.coalesce("scanner", "receiver").alias("ip")).agg(
+        F.count_if(F.col("by_scanner") & (F.col("syns") > 0) & F.col("port").isNotNull()).alias("ports"),
+        F.sum(F.when(F.col("by_receiver") & (F.col("uploaded") > 0), F.col("uploaded"))).alias("uploaded"),
+        F.count_if(F.col("by_ack") & (F.col("acks") > 3)).alias("duplicate_acks"),
+        F.max(F.when(whole, F.col("icmp_size"))).alias("icmp_size"), *[total(c) for c in ("n", "bytes", "odd", "icmps")],
+        F.collect_list(F.when(whole, F.struct("ip_proto", "n"))).alias("protocols"),
+    )
+
+
+def _facts(detector: str, type_: str, severity, description: str, value=None, evidence=None, src=None, dst=None, confidence=None) -> Column:
+    """A finding as a struct (see FINDINGS)."""
+    given = {"value": value, "evidence": evidence, "src_ip": src, "dst_ip": dst, "confidence": confidence}
+    fixed = {"detector": F.lit(detector), "type": F.lit(type_), "severity": severity if isinstance(severity, Column) else F.lit(severity), "description": F.lit(description)}
+    have = fixed | {k: v for k, v in given.items() if v is not None}
+    return F.struct(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FINDINGS.fields if f.name != "capture_id"])
+
+
+def _unfolded(counts: DataFrame, cases: list[tuple[Column, Column]], more: Column | None = None) -> DataFrame:
+    """One row per case that holds, and per entry of ``more``."""
+    found = F.array_compact(F.array(*[F.when(when, fact) for when, fact in cases]))
+    found = found if more is None else F.concat(found, F.coalesce(more, F.array().cast(_FACTS)))
+    return counts.select("capture_id", F.inline(found)).select(*[f.name for f in FINDINGS.fields])
+
+
+_FACTS = T.ArrayType(T.StructType([f for f in FINDINGS.fields if f.name != "capture_id"]))
+
+
+def group_findings(packets: DataFrame, percent: float = L3_SHARE_PERCENT, common=(1, 6, 17)) -> DataFrame:
+    """``port_scans``, ``suspicious_dns``, ``large_uploads``, ``covert_icmp``, ``unusual_l3`` and
+    the load issues about bytes and acknowledgements, from one reading of the packets."""
+    kind, share = F.col("kind"), F.col("n")
+    whole = kind == "capture"
+    cases = [
+        ((kind == "scanner") & (F.col("ports") > SCAN_PORTS), _facts("D2", "PORT_SCAN", "high", "Port scan detected", F.col("ports"), src=F.col("ip"))),
+        ((kind == "receiver") & (F.col("uploaded") > UPLOAD_BYTES), _facts("D12", "large_upload", "high", "Large data upload detected", F.col("uploaded"), dst=F.col("ip"))),
+        (whole & (F.col("odd") > 0), _facts("D3", "SUSPICIOUS_DNS", "medium", "Suspicious DNS queries detected", F.col("odd"))),
+        (whole & (F.col("bytes") > BANDWIDTH_BYTES), _facts("D7", "HIGH_BANDWIDTH", "high", "High bandwidth usage detected", F.col("bytes"))),
+        (whole & (F.col("duplicate_acks") > 0), _facts("D7", "DUPLICATE_ACKS", "medium", "Duplicate ACKs detected", F.col("duplicate_acks"))),
+        (
+            whole & (F.col("icmps") > COVERT_ICMP_PACKETS) & (F.col("icmp_size") > COVERT_ICMP_PAYLOAD),
+            _facts("D14", "icmp_covert_channel", "medium", "Unusual ICMP packet sizes detected", F.col("icmp_size")),
+        ),
+    ]
+    odd = F.filter("protocols", lambda p: ~p["ip_proto"].isin(*common) & (p["n"] * 100 > share * percent))
+    unusual = F.transform(
+        odd,
+        lambda p: _facts(
+            "D17", "unusual_protocol_distribution", "medium", "Unusual amount of protocol traffic", F.round(p["n"] * 100 / share, 6), p["ip_proto"].cast("string")
+        ),
+    )
+    return _unfolded(_group_counts(packets), cases, unusual)
+
+
+def flow_findings(packets: DataFrame) -> DataFrame:
+    """Retransmission alerts, connection rate, packet loss and slow handshakes, from one reading."""
+    rate, us = F.col("retransmission_rate"), F.col("handshake_us")
+    cases = [
+        (F.col("retransmissions") > 0, _facts("D6", "TCP_RETRANSMISSION", "high", "TCP retransmissions detected", F.col("retransmissions"))),
+        (F.col("connection_rate") > CONNECTION_RATE, _facts("D7", "HIGH_CONNECTION_RATE", "medium", "High connection rate detected", F.col("connection_rate"))),
+        (
+            rate > LOSS_RATE,
+            _facts(
+                "D8", "packet_loss", F.when(rate < HIGH_LOSS_RATE, F.lit("medium")).otherwise("high"), "High retransmission rate detected", F.round(rate, 6), confidence=F.lit(0.85)
+            ),
+        ),
+        (
+            us > SLOW_HANDSHAKE_US,
+            _facts(
+                "D8", "high_latency", F.when(us < VERY_SLOW_HANDSHAKE_US, F.lit("medium")).otherwise("high"), "High TCP handshake latency detected", F.round(us / 1e6, 6),
+                confidence=F.lit(0.9),
+            ),
+        ),
+    ]
+    return _unfolded(tcp.capture_health(packets), cases)
+
+
+def name_findings(packets: DataFrame) -> DataFrame:
+    """DNS timeouts and slow or failing DNS, from one ordered scan."""
+    slow = (F.col("avg_response_time") > SLOW_DNS_S) | (F.col("failure_rate") > DNS_FAILURE_RATE)
+    cases = [
+        (F.col("unanswered") > 0, _facts("D5", "DNS_TIMEOUT", "high", "DNS queries without responses", F.col("unanswered"))),
+        (slow, _facts("D8", "dns_issues", "medium", "DNS performance issues detected", F.round("failure_rate", 6), confidence=F.lit(0.8))),
     ]
+    return _unfolded(dns.health(packets), cases)
+
+
+def load_and_performance(packets: DataFrame) -> DataFrame:
+    """The issues of ``load_issues`` and ``performance_issues`` (D7, D8)."""
+    parts = [group_findings(packets), flow_findings(packets), name_findings(packets)]
+    return reduce(lambda a, b: a.unionByName(b), parts).where(F.col("detector").isin("D7", "D8"))
+
+
+def triage_issues(packets: DataFrame) -> DataFrame:
+    """All that the triage reports: DNS, TCP, security and load issues of every capture."""
+    parts = [packet_findings(packets, triage_rules()), group_findings(packets), flow_findings(packets), name_findings(packets)]
+    return reduce(lambda a, b: a.unionByName(b), parts).where(F.col("detector").isin("D1", "D2", "D3", "D5", "D6", "D7"))
+
+
+def all_findings(packets: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """Every detector in one table. The packets are read five times: once for the rules about
+    single packets, once for each of the three families of groups, and once more by the carry of
+    the ordered DNS scan. Findings of the outlier models may be added."""
+    parts = [packet_findings(packets, [*triage_rules(), *deep_rules()]), group_findings(packets), flow_findings(packets), name_findings(packets)]
+    parts += [] if anomalies is None else [_conform(anomalies)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

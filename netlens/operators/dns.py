@@ -73,11 +73,11 @@ def transactions(packets: DataFrame) -> DataFrame:
     return answered.unionByName(still_open, allowMissingColumns=True)
 
 
-def matched_by_id(packets: DataFrame, chunk_us: int = 60_000_000) -> DataFrame:
-    """Each query with the first strictly later response carrying its transaction id.
+def _with_answers(packets: DataFrame, chunk_us: int = 60_000_000) -> DataFrame:
+    """DNS packets, each with the first strictly later response carrying its transaction id.
 
-    Responses may serve several queries. The scan runs backwards in time; at equal times
-    queries come first, so a response never answers a query of its own instant.
+    The scan runs backwards in time; at equal times queries come first, so a response never
+    answers a query of its own instant.
     """
     us = net.us("ts")
     dns = packets.where(F.col("dns_qr").isNotNull()).select(
@@ -87,7 +87,7 @@ def matched_by_id(packets: DataFrame, chunk_us: int = 60_000_000) -> DataFrame:
         F.col("dns_qr") == 1,
         F.struct(F.col("us").alias("us"), F.col("dns_rcode").alias("rcode")),
     )
-    scanned = scan(
+    return scan(
         dns,
         ["capture_id", "dns_id"],
         [
@@ -99,7 +99,11 @@ def matched_by_id(packets: DataFrame, chunk_us: int = 60_000_000) -> DataFrame:
         time_chunk(-F.col("us"), chunk_us),
         last={"answer": response},
     )
-    return scanned.where(F.col("dns_qr") == 0).select(
+
+
+def matched_by_id(packets: DataFrame, chunk_us: int = 60_000_000) -> DataFrame:
+    """Each query with its answer; responses may serve several queries."""
+    return _with_answers(packets, chunk_us).where(F.col("dns_qr") == 0).select(
         "capture_id",
         "frame_number",
         "dns_id",
@@ -109,6 +113,30 @@ def matched_by_id(packets: DataFrame, chunk_us: int = 60_000_000) -> DataFrame:
     )
 
 
+def health(packets: DataFrame) -> DataFrame:
+    """What ``triage`` and ``performance`` say of a capture that the findings need, in one go:
+    unanswered queries, failure rate and mean latency."""
+    is_query = F.col("dns_qr") == 0
+    answer = F.when(is_query, F.col("answer.us") - F.col("us"))
+    failed = is_query & (F.col("answer").isNull() | (F.col("answer.rcode") != 0))
+    per_id = (
+        _with_answers(packets)
+        .groupBy("capture_id", "dns_id")
+        .agg(
+            F.count_if(is_query).alias("q"),
+            F.count_if(F.col("dns_qr") == 1).alias("r"),
+            F.count_if(failed).alias("failures"),
+            F.sum(answer).alias("total_us"),
+            F.count(answer).alias("answered"),
+        )
+    )
+    return per_id.groupBy("capture_id").agg(
+        F.sum(F.greatest(F.col("q") - F.col("r"), F.lit(0))).alias("unanswered"),
+        ratio(F.sum("failures"), F.sum("q")).alias("failure_rate"),
+        (F.sum("total_us") / F.nullif(F.sum("answered"), F.lit(0)) / 1e6).alias("avg_response_time"),
+    )
+
+
 def performance(packets: DataFrame) -> DataFrame:
     """Per capture: queries, timeouts, failures, failure rate, mean and maximum latency."""
     return (

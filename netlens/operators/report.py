@@ -51,7 +51,7 @@ def triage_sections(packets: DataFrame) -> DataFrame:
 
 def deep_sections(packets: DataFrame, findings: DataFrame) -> DataFrame:
     """Protocol sections, finding counts and capture-level issues."""
-    issues = detect.load_issues(packets).unionByName(detect.performance_issues(packets))
+    issues = detect.load_and_performance(packets)
     kinds = findings.groupBy("capture_id", "type", "severity").agg(F.count("*").alias("findings"))
     return (
         _section(tcp.triage(packets), "tcp")

@@ -195,6 +195,28 @@ def retransmissions(packets: DataFrame, grain: list[str] = CONVERSATION) -> Data
     )
 
 
+def capture_health(packets: DataFrame) -> DataFrame:
+    """Retransmissions and their rate, distinct directed 4-tuples and the mean handshake time of
+    each capture: one reading, rolled up from sequence numbers to flows, conversations, captures."""
+    at = F.struct("frame_number", net.us("ts").alias("us"))
+    firsts = [F.min(F.when(net.bare_syn(), at)).alias("syn"), F.min(F.when(net.syn_ack(), at)).alias("syn_ack")]
+    earliest = [F.min("syn").alias("syn"), F.min("syn_ack").alias("syn_ack")]
+    flow = list(dict.fromkeys([*CONVERSATION, *FLOW]))
+    repeats = F.when(F.col("tcp_seq").isNotNull(), F.col("n") - 1).otherwise(0)
+    added = [F.sum("n").alias("n"), F.sum("repeats").alias("repeats")]
+    per_number = tcp_packets(packets).groupBy(*flow, "tcp_seq").agg(F.count("*").alias("n"), *firsts)
+    per_flow = per_number.withColumn("repeats", repeats).groupBy(*flow).agg(*added, *earliest)
+    per_conversation = per_flow.groupBy(*CONVERSATION).agg(F.count("*").alias("flows"), *added, *earliest)
+    ordered = F.col("syn.frame_number") < F.col("syn_ack.frame_number")
+    handshake = F.when(ordered, F.col("syn_ack.us") - F.col("syn.us"))
+    return per_conversation.groupBy("capture_id").agg(
+        F.sum("repeats").alias("retransmissions"),
+        ratio(F.sum("repeats"), F.sum("n")).alias("retransmission_rate"),
+        F.sum("flows").alias("connection_rate"),
+        (F.sum(handshake) / F.nullif(F.count(handshake), F.lit(0))).alias("handshake_us"),
+    )
+
+
 def retransmitted_packets(packets: DataFrame) -> DataFrame:
     """The packets whose sequence number was already seen in their directed 4-tuple."""
     scanned = scan(

@@ -94,3 +94,42 @@ def test_captures_without_findings_have_rows(packets):
     assert len(findings.recommendations(none, quiet).collect()) == 3
     assert one(findings.security_summary(none, quiet))["total_security_issues"] == 0
     assert findings.risk_level(none).count() == 0
+
+
+def _eventful(packets):
+    """A capture that fires every rule about groups, and one that fires none."""
+    rows = [{"tcp_flags": 2, "src_port": 5000, "dst_port": p, "src_ip": "10.9.9.9"} for p in range(100, 115)]
+    rows += [{"src_port": 6000, "dst_port": 80, "tcp_flags": 24, "tcp_seq": 5, "tcp_ack": 77, "packet_size": 30_000}] * 5
+    rows += [
+        {"at": 1, "src_port": 7000, "dst_port": 80, "tcp_flags": 2}, {"at": 2, "src_ip": "10.0.0.2", "dst_ip": "10.0.0.1", "src_port": 80, "dst_port": 7000, "tcp_flags": 18},
+    ]
+    udp = {"protocol": "UDP", "ip_proto": 17, "src_port": 999, "dst_port": 53}
+    rows += [udp | {"dns_qr": 0, "dns_id": i, "dns_query": "a-long-enough-name-7.example.org"} for i in range(3)]
+    rows += [{"protocol": "ICMP", "ip_proto": 1, "payload": "x" * 100}] * 11 + [{"protocol": "OTHER", "ip_proto": 47}] * 9
+    return packets(*rows, {"capture_id": "quiet", "src_port": 1, "dst_port": 2})
+
+
+def test_fused_findings_equal_the_single_detectors(packets):
+    p = _eventful(packets)
+    singles = [
+        detect.packet_findings(p, [*detect.triage_rules(), *detect.deep_rules()]), detect.port_scans(p), detect.suspicious_dns(p), detect.dns_timeouts(p),
+        detect.retransmission_alerts(p), detect.load_issues(p), detect.performance_issues(p), detect.large_uploads(p), detect.covert_icmp(p), detect.unusual_l3(p),
+    ]
+    want = sorted((tuple(r) for d in singles for r in d.collect()), key=repr)
+    got = detect.all_findings(p).collect()
+    assert sorted(map(tuple, got), key=repr) == want
+    assert {r["detector"] for r in got} >= {"D2", "D3", "D5", "D6", "D7", "D8", "D14", "D17"}
+    issues = sorted(map(tuple, detect.load_and_performance(p).collect()), key=repr)
+    assert issues == [r for r in want if r[1] in ("D7", "D8")]
+
+
+def test_findings_read_a_table_five_times(spark, tmp_path, packets):
+    _eventful(packets).write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+
+    def readings(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert readings(detect.all_findings(table)) <= 5
+    assert readings(detect.group_findings(table)) == readings(detect.flow_findings(table)) == 1
+    assert readings(detect.load_and_performance(table)) <= 4
