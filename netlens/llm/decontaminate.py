@@ -14,6 +14,8 @@ WINDOW = 13
 SLOP = 20
 #: UTF-8 bytes of benchmark text that are searched (and broadcast) at once; more go block by block.
 BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of text in a segment of the index, about.
+SEGMENT_BYTES = 4 << 20
 
 #: Bytes of a word: digits, small letters, and all of code points from U+0080 on.
 _WORD = np.zeros(256, bool)
@@ -42,7 +44,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, SEGMENT_BYTES):
             hashes, first = words(batch.column(1))
             order = np.argsort(hashes, kind="stable").astype("<u4")
             terms, starts = np.unique(hashes[order], return_index=True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that a Python worker turns into arrays at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 #: Rolling hash: an odd base and its inverse modulo 2**64, and the odd constants of a final mix.
 BASE = 0x9E3779B97F4A7C15

@@ -130,7 +130,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     want = sorted((i % 9, *w) for i, w in enumerate(slow_judgement(texts, items)))
     assert sorted((r["doc_id"], *(r[c] for c in columns)) for r in decontaminate.judged(docs, bench).collect()) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)  # several blocks
-    monkeypatch.setattr(shared, "PIECE_BYTES", 500)
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 500)
     assert sorted((r["doc_id"], *(r[c] for c in columns)) for r in decontaminate.judged(docs, bench).collect()) == want
 
 
