@@ -1,6 +1,7 @@
 """Packing of token sequences: BM25 neighbours of a seed document fill its window."""
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,32 +18,82 @@ SHARD_TOKENS = 1 << 20
 #: A seed's terms of highest weight, which are searched for.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a worker remembers.
+REMEMBERED = 700_000
 
-TOKENS = "id bigint, ids binary, route bigint"
+TOKENS = "id bigint, ids binary, route bigint, seen binary"
 PIECES = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+#: Letters and numbers below U+0100, as the tokenizer's own pattern has them, and that pattern
+#: for lower-cased text without white space; a line feed stands between two words.
+_LETTERS, _NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\n{_LETTERS}{_NUMBERS}]+")
+#: What _PARTS is not right for: controls, white space, all from U+0100 on.
+_ODD = re.compile("[^\x21-\x7e\xa1-\xff]")
+#: How the vocabulary spells bytes: printable ones as themselves, the others from U+0100 on.
+_SPELT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: chr(b) for b in _SPELT} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SPELT)))}
+END_OF_WORD = "</w>"
+
+
 class Encoder:
     """Token ids of texts. The tokenizer drops white space and never joins what stands on its
-    two sides, so each word between ASCII blanks is encoded once and looked up afterwards."""
+    two sides, so each word between ASCII blanks is encoded once and looked up afterwards. Words
+    of Latin-1 are cut into the parts that the tokenizer's pattern gives and only the parts not
+    seen yet go through its model; all others go through the whole tokenizer."""
 
     def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = max(self.tokenizer.get_vocab_size(), end + 1)
         self.kind = id_type(self.size)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.last = np.zeros(self.size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith(END_OF_WORD)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"\n": b""}
         self.end = np.array([end], self.kind).tobytes()
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _words(self, text: str) -> list[str]:
+    def direct(self, texts: list[str]) -> list[bytes]:
+        """What the whole tokenizer gives."""
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without ASCII blanks and special tokens."""
+        found, plain = {}, words
+        if _ODD.search("".join(words)):
+            other = [w for w in words if _ODD.search(w)]
+            found = dict(zip(other, self.direct(other), strict=True))
+            plain = [w for w in words if w not in found]
+        parts = _PARTS.findall("\n".join([*plain, ""]).lower())
+        fresh = list(set(parts) - self.parts.keys())
+        if len(self.parts) + len(fresh) > REMEMBERED:
+            self.parts = {"\n": b""}
+            fresh = list(set(parts) - self.parts.keys())
+        spelt = [p if p.isascii() else "".join(map(_SPELLING.__getitem__, p.encode())) for p in fresh]
+        ids = np.array(self.model.encode_batch_fast([" ".join(spelt)])[0].ids, self.kind)
+        stops = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
+        if len(stops) != len(fresh):
+            raise ValueError("this tokenizer does not end each part of a word with an end-of-word token")
+        body, stops = ids.tobytes(), stops.tolist()
+        self.parts.update(zip(fresh, map(body.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        encoded = list(map(self.parts.__getitem__, parts))
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        breaks = np.fromiter(map("\n".__eq__, parts), bool, len(parts))  # one after each word
+        body, stops = b"".join(encoded), ends[breaks].tolist()
+        made = map(body.__getitem__, map(slice, [0, *stops], stops))
+        if not found:
+            return list(made)
+        found |= zip(plain, made, strict=False)
+        return [found[w] for w in words]
+
+    def _split(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
             text = text.lower()  # as the tokenizer does; below U+0100 character by character
@@ -53,16 +104,16 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         marked = [any(m in t for m in self.marks) for t in texts]
-        parts = [[] if m else self._words(t) for t, m in zip(texts, marked, strict=True)]
+        parts = [[] if m else self._split(t) for t, m in zip(texts, marked, strict=True)]
         fresh = set().union(*parts) - self.known.keys()
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known = {"": b""}
             fresh = set().union(*parts) - {""}
         fresh = list(fresh)
-        self.known.update(zip(fresh, self._direct(fresh), strict=True))
+        self.known.update(zip(fresh, self.words(fresh), strict=True))
         known = self.known.__getitem__
         return [
-            (self._direct([t])[0] if m else b"".join(map(known, p))) + self.end for t, m, p in zip(texts, marked, parts, strict=True)
+            (self.direct([t])[0] if m else b"".join(map(known, p))) + self.end for t, m, p in zip(texts, marked, parts, strict=True)
         ]
 
 
@@ -87,18 +138,23 @@ def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, route): the token ids of each whole text with the end token, and a key that
-    sorts documents by the two terms that mark them most among those of the same batch. It
-    decides only which documents share a shard. A null text has the end token alone."""
+    """(id, ids, route, seen): the token ids of each whole text with the end token, and a key
+    that sorts documents by the two terms that mark them most among those of the same batch. It
+    decides only which documents share a shard. A null text has the end token alone. One more
+    row per partition, without ids, has in ``seen`` how many of its documents have each id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end)
+        names = ["id", "ids", "route", "seen"]
+        total = np.zeros(encoder.size, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = encoder(part.column(1).to_pylist())
                 found = [counted(np.frombuffer(x, encoder.kind)) for x in ids]
-                share = np.bincount(np.concatenate([t for t, _ in found]), minlength=encoder.size) / len(found)
+                seen = np.bincount(np.concatenate([t for t, _ in found]), minlength=encoder.size)
+                total += seen
+                share = seen / len(found)
                 rarity = np.log(1 / np.maximum(share, 1e-9)).clip(0)
                 rarity[share * len(found) < 2] = 0.5  # what no other document has leads nowhere
                 route = []
@@ -106,24 +162,26 @@ def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id"
                     weight = rarity[terms] * n / (n + K1)
                     best = terms[np.argsort(-weight, kind="stable")[:2]]
                     route.append(int(best[0]) << 32 | int(best[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(route, pa.int64())], ["id", "ids", "route"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(route, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+        if total.any():
+            sums = pa.array([total.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), sums], names)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, TOKENS)
 
 
-def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
-    """In how many documents each id occurs: counted within partitions, summed by Spark. The
-    result has one number per entry of the vocabulary, which bounds it."""
+def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
+    """In how many documents each id occurs: the partitions' counts, summed by Spark. The result
+    has one number per entry of the vocabulary, which bounds it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in batch.column(0):
-                total[counted(np.frombuffer(ids.as_py(), kind))[0]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["token", "n"])
+            for seen in batch.column(0):
+                total = np.frombuffer(seen.as_py(), "<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("seen IS NOT NULL").select("seen").mapInArrow(unfold, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)
     for r in rows:
         out[r["token"]] = r["n"]
@@ -237,8 +295,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
     encoder = _encoder(path, end)
     kind, size = encoder.kind, encoder.size
     tokens = staged(tokenized(docs, path, end, id_col, text_col), "tokens")
-    n_docs, n_bytes = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
-    seen = document_frequencies(tokens, kind, size)
+    n_docs, n_bytes = tokens.agg(F.count("ids"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    seen = document_frequencies(tokens, size)
     idf = np.log(1 + (n_docs - seen + 0.5) / (seen + 0.5))
     mean_length = n_bytes / kind.itemsize / max(1, n_docs)
     sent = tokens.sparkSession.sparkContext.broadcast(idf)
@@ -274,5 +332,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
         if docs:
             yield out()
 
-    spread = tokens.select("id", "ids", "route").repartitionByRange("route", F.xxhash64("id", "ids"))
+    spread = tokens.where("ids IS NOT NULL").select("id", "ids", "route").repartitionByRange("route", F.xxhash64("id", "ids"))
     return spread.sortWithinPartitions("route", "id", "ids").select("id", "ids").mapInArrow(packed, PIECES)

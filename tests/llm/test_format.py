@@ -55,7 +55,7 @@ def ids_of(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [1]
 
 
-ODD = ["", None, "Hello, World!", "İstanbul ΣΑΣ\x1cx\x85y\u00a0z\u2028w", "e\u0301 \u0301x", "a<|endoftext|>b <|ENDOFTEXT|>", "it's WE'LL 123 ÀÉ", "\r\n\t x \x0b y", "\ufb01 ½ \U0001f600"]
+ODD = ["", None, "Hello, World!", "İstanbul ΣΑΣ\x1cx\x85y\u00a0z\u2028w", "e\u0301 \u0301x", "a<|endoftext|>b <|ENDOFTEXT|>", "it's WE'LL 123 ÀÉ", "\r\n\t x \x0b y", "\ufb01 ½ \U0001f600", "x² µ ª¼ ça!'s 'send l'été\x7f\x01 \xad¿QUÉ?"]
 
 
 def test_ids_equal_the_tokenizers_own():
