@@ -1,6 +1,8 @@
 """SimHash near-duplicates: fingerprints, a grid over segment bit counts, exact verification."""
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -16,6 +18,9 @@ from netlens.llm.shared import mixed, staged
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+#: Fingerprints, of 64 bits each, that tell similar texts, and the least Jaccard similarity.
+FINGERPRINTS = 4
+SIMILARITY = 0.8
 #: Runs of a cell up to this length are compared pair by pair; longer ones by growing groups.
 SHORT_RUN = 64
 
@@ -91,8 +96,8 @@ def _unary(fp: np.ndarray) -> np.ndarray:
 
 
 def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
-    """Edges that connect what links join among the values of one cell, one fewer than each
-    connected group has values: group by group, each member against the values not yet reached."""
+    """Edges (places of two values) that connect what links join within one cell, one fewer than
+    each connected group has values: group by group, each member against those not yet reached."""
     grid, left, right = _unary(fp), [], []
     rest = np.arange(len(fp))
     while len(rest) > 1:
@@ -102,15 +107,15 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
             near = np.bitwise_count(grid[rest] ^ grid[at]) <= radius
             near[near] = np.bitwise_count(fp[rest[near]] ^ fp[at]) <= radius
             reached = rest[near]
-            left.append(np.full(len(reached), fp[at]))
-            right.append(fp[reached])
+            left.append(np.full(len(reached), at))
+            right.append(reached)
             todo.extend(reached)
             rest = rest[~near]
     return left, right
 
 
 def _links(cell: np.ndarray, mask: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the cells of rows sorted by cell."""
+    """Links within the cells of rows sorted by cell, as places of rows."""
     new = np.ones(len(fp), bool)
     new[1:] = (cell[1:] != cell[:-1]) | (mask[1:] != mask[:-1])
     starts = np.flatnonzero(new)
@@ -119,53 +124,56 @@ def _links(cell: np.ndarray, mask: np.ndarray, fp: np.ndarray, radius: int) -> t
     long = lengths > SHORT_RUN
     for at, n in zip(starts[long], lengths[long], strict=True):
         x, y = _forest(fp[at : at + n], radius)
-        left += x
-        right += y
-    kept = np.repeat(~long & (lengths > 1), lengths)
-    run, fp = np.repeat(np.arange(len(starts)), lengths)[kept], fp[kept]
+        left += [at + v for v in x]
+        right += [at + v for v in y]
+    place = np.flatnonzero(np.repeat(~long & (lengths > 1), lengths))
+    run, fp = np.repeat(np.arange(len(starts)), lengths)[place], fp[place]
     grid = _unary(fp)
     for step in range(1, SHORT_RUN):
         if step >= len(fp) or not (near := run[step:] == run[:-step]).any():
             break
         near[near] = np.bitwise_count(grid[step:][near] ^ grid[:-step][near]) <= radius
         near[near] = np.bitwise_count(fp[step:][near] ^ fp[:-step][near]) <= radius
-        left.append(fp[:-step][near])
-        right.append(fp[step:][near])
-    none = [np.zeros(0, np.uint64)]
+        left.append(place[:-step][near])
+        right.append(place[step:][near])
+    none = [np.zeros(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between the distinct ``fp`` of ``values`` that connect exactly what pairs of
-    at most ``radius`` differing bits connect. Every cell of the grid is worked through in the
-    order of a sorted partition; a long run gives a spanning forest, not its pairs."""
-    grid = bit_counts(F.col("fp"))
+def _celled(values: DataFrame, fp: Column, place: int) -> DataFrame:
+    """(fp, node, mask, cell) of every cell that a value of ``values`` lies in."""
+    masks = cell_masks(RADIUS)
+    grid = bit_counts(fp)
     cells = [
-        F.struct(F.lit(k).cast("tinyint").alias("mask"), grid.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("cell"))
-        for k, m in enumerate(cell_masks(radius))
+        F.struct(F.lit(place * len(masks) + k).cast("smallint").alias("mask"), grid.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("cell"))
+        for k, m in enumerate(masks)
     ]
-    dealt = values.select("fp", F.explode(F.array(*cells)).alias("at")).select("fp", "at.mask", "at.cell")
-    dealt = dealt.repartition("mask", "cell").sortWithinPartitions("mask", "cell", "fp")
+    return values.select(fp.alias("fp"), "node", F.explode(F.array(*cells)).alias("at")).select("fp", "node", "at.mask", "at.cell")
+
+
+def _pairs(cells: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between nodes whose values share a cell and differ in at most ``radius``
+    bits. Cells are worked through in the order of a sorted partition; a long run gives a
+    spanning forest, not its pairs."""
+    dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def made(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
-            fp, mask, cell = (np.concatenate(x) for x in zip(*rows, strict=True))
+            fp, node, mask, cell = (np.concatenate(x) for x in zip(*rows, strict=True))
             a, b = _links(cell, mask, fp.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            same = (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
-            cut = len(same) if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-            if cut == len(same) and held and (held[-1][1][-1], held[-1][2][-1]) == (rows[1][0], rows[2][0]):
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            same = (rows[2] == rows[2][-1]) & (rows[3] == rows[3][-1])
+            cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            if not cut and held and (held[-1][2][-1], held[-1][3][-1]) == (rows[2][0], rows[3][0]):
                 held.append(rows)  # the last cell goes on through the whole batch
                 continue
-            if cut == len(same):
-                cut = 0
             if held or cut:
                 yield made([*held, [x[:cut] for x in rows]])
             held = [[x[cut:] for x in rows]]
@@ -175,42 +183,67 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, count: int = 1
-) -> DataFrame:
+def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between the distinct ``fp`` of ``values`` that connect exactly what pairs of
+    at most ``radius`` (up to 4) differing bits connect: such a pair shares some cell."""
+    return _pairs(_celled(values.withColumn("node", F.col("fp")), F.col("fp"), 0), radius)
+
+
+def bits_of_similarity(jaccard: float, bits: int) -> int:
+    """Bits in which fingerprints of two equally large sets differ on the average: their cosine
+    is 2 J / (1 + J), and a bit differs with chance angle / pi."""
+    return int(bits * math.acos(2 * jaccard / (1 + jaccard)) / math.pi)
+
+
+def similar(nodes: DataFrame, count: int, jaccard: float) -> DataFrame:
+    """Edges (a, b) between the rows (node, fps) of ``nodes`` whose ``count`` fingerprints together
+    differ in no more bits than sets of that similarity do. Candidates share a cell of the same
+    fingerprint and differ in few of its bits; all bits are compared then."""
+    cells = [_celled(nodes, F.col("fps")[k], k) for k in range(count)]
+    found = _pairs(reduce(DataFrame.unionByName, cells), bits_of_similarity(jaccard, 64) + 3)
+    found = found.join(nodes.select(F.col("node").alias("a"), F.col("fps").alias("x")), "a")
+    found = found.join(nodes.select(F.col("node").alias("b"), F.col("fps").alias("y")), "b")
+    unlike = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return found.where(unlike <= bits_of_similarity(jaccard, 64 * count)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint bigint, component_id) of every row: component_id is the least id of the
-    rows that links lead to. Two rows link when one of their ``count`` fingerprints (of equal
-    place) differs in at most ``radius`` bits.
+    rows that links lead to. Two rows link when their fingerprints differ in at most ``radius``
+    bits.
 
     Equal fingerprints are one node, so copies cost nothing beyond one grouped minimum. Null
     and blank texts have fingerprint 0 and link like any other; rows with a null id take part
     and have no say in the minimum; repeated rows stay; an empty table gives no rows."""
-    rows = staged(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle, count).alias("fps")), "fingerprints")
-    edges = None
-    for k in range(count):
-        found = links(rows.select(F.col("fps")[k].alias("fp")).distinct(), radius)
-        if k:  # nodes are first fingerprints: name the others after one row that has them
-            named = rows.groupBy(F.col("fps")[k].alias("fp")).agg(F.min(F.col("fps")[0]).alias("first"))
-            equal = rows.select(F.col("fps")[k].alias("fp"), F.col("fps")[0].alias("a")).distinct().join(named, "fp")
-            found = (
-                found.join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
-                .join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-                .select(F.col("x").alias("a"), F.col("y").alias("b"))
-                .unionByName(equal.select("a", F.col("first").alias("b")))
-            )
-        edges = found if edges is None else edges.unionByName(found)
-    roots = components(edges)
-    nodes = rows.groupBy(F.col("fps")[0].alias("node")).agg(F.min("id").alias("least"))
-    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rows = staged(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle)[0].alias("node")), "fingerprints")
+    out = _classes(rows, links(rows.select(F.col("node").alias("fp")).distinct(), radius))
+    return out.select(F.col("id").alias(id_col), F.col("node").alias("fingerprint"), "component_id")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = FINGERPRINTS, jaccard: float = SIMILARITY
+) -> DataFrame:
+    """(id, component_id) like ``near_duplicates``, for a lower similarity than one fingerprint
+    and few bits can tell: links are those of ``similar``. The same cases give the same results;
+    texts without words have fingerprints of zeros and form one group."""
+    made = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle, count).alias("fps"))
+    rows = staged(made.withColumn("node", F.xxhash64("fps")), "fingerprints")
+    nodes = staged(rows.groupBy("node").agg(F.first("fps").alias("fps")), "nodes")
+    return _classes(rows.select("id", "node"), similar(nodes, count, jaccard)).select(F.col("id").alias(id_col), "component_id")
+
+
+def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, node, component_id) of the rows (id, node)."""
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least")).join(components(edges), "node", "left")
+    nodes = nodes.select("node", "least", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = nodes.join(least, "root").select(F.col("node").alias("fingerprint"), "component_id")
-    return rows.select("id", F.col("fps")[0].alias("fingerprint")).join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    return rows.join(nodes.join(least, "root").select("node", "component_id"), "node").select("id", "node", "component_id")
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the least id. Rows that share
-    that id with equal or different texts stay together; rows with a null id all stay, as they
-    cannot be told apart."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
+    """The rows of ``docs`` that stay: of each group of similar texts the one with the least id.
+    Rows that share that id with equal or different texts stay together; rows with a null id all
+    stay, as they cannot be told apart."""
+    classes = similar_groups(docs, id_col, text_col, **options)
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

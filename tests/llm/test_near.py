@@ -60,19 +60,35 @@ def test_every_link_lies_in_some_cell(spark, radius):
 def test_a_long_cell_gives_a_forest():
     values = np.array(sorted({(1 << a) | (1 << b) for a in range(24) for b in range(24)} | {0xFFFF << 48}), np.uint64)
     left, right = simhash._forest(values, 4)
-    assert len(np.concatenate(left)) == len(np.concatenate(right)) == len(values) - 2
+    left, right = np.concatenate(left), np.concatenate(right)
+    assert len(left) == len(values) - 2 and (np.bitwise_count(values[left] ^ values[right]) <= 4).all()
 
 
-@pytest.mark.parametrize("count", [1, 3])
-def test_simhash_of_a_messy_table(messy, no_docs, count):
-    rows = simhash.near_duplicates(messy, count=count).collect()
+@pytest.mark.parametrize("groups", [simhash.near_duplicates, simhash.similar_groups])
+def test_simhash_of_a_messy_table(messy, no_docs, groups):
+    rows = groups(messy).collect()
     assert len(rows) == len(MESSY)
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[1]["component_id"] == by_id[6]["component_id"] == 1
-    assert {by_id[i]["component_id"] for i in (2, 3, 4)} == {2} and by_id[3]["fingerprint"] == 0
+    assert {by_id[i]["component_id"] for i in (2, 3, 4)} == {2}
     assert sum(r["doc_id"] == 7 and r["component_id"] == 7 for r in rows) == 2
     assert {r["component_id"] for r in rows if r["doc_id"] is None} == {2, None}
-    assert simhash.near_duplicates(no_docs, count=count).count() == 0
+    assert groups(no_docs).count() == 0
+
+
+def test_similar_texts_group_and_others_do_not(spark):
+    rows = []
+    for g in range(40):
+        words = prose(g, 150).split()
+        rows.append((g * 10, " ".join(words)))
+        for k in range(1, 4):
+            changed = list(words)
+            for at in range(20 * k, 150, 80):  # two words: a similarity of about 0.87
+                changed[at] = f"new{k}{at}"
+            rows.append((g * 10 + k, " ".join(changed)))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5).collect()
+    assert all(r["component_id"] // 10 == r["doc_id"] // 10 for r in got)
+    assert sum(r["component_id"] == r["doc_id"] // 10 * 10 for r in got) >= 0.95 * len(got)
 
 
 def test_one_document_of_each_group_stays(messy):
