@@ -144,13 +144,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sprea
     marks = rows.join(repeated, "hash").select(*keys, "ordinal", (place == F.col("least")).alias("first")).distinct()
     marks = staged(marks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ordinal", "first"))).alias("_marks")), "marks")
 
-    marked = docs.select(*names, *_keys(id_col, text_col)).join(marks, keys, "left").select(*names, *keys, "_marks")
+    # both lists grow with the table: the joins are never planned as broadcasts
+    marked = docs.select(*names, *_keys(id_col, text_col)).join(marks.hint("merge"), keys, "left").select(*names, *keys, "_marks")
     bodies = staged(_bodies(marked.where("_marks IS NOT NULL"), at, spread, long_line), "bodies")
     firsts = bodies.where("first").groupBy("hash").agg(F.first("body").alias("model"))
     unlike = bodies.where("NOT first").join(firsts, "hash").where("body <> model").groupBy(*keys).agg(F.collect_set("ordinal").alias("_unlike"))
 
     copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    ready = marked.withColumn("_copy", copy).join(unlike, keys, "left")
+    ready = marked.withColumn("_copy", copy).join(unlike.hint("merge"), keys, "left")
     lost = F.filter("_marks", lambda m: ~m["first"] & ~F.coalesce(F.array_contains("_unlike", m["ordinal"]), F.lit(False)))
     ready = ready.select(*names, F.coalesce(F.transform(lost, lambda m: m["ordinal"]), F.array().cast("array<int>")).alias("_gone"), "_copy")
     schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.IntegerType())])

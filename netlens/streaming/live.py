@@ -7,10 +7,11 @@ table; on a stream they need event time under a watermark (``with_event_time``).
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from netlens.functions import net
 from netlens.schema import LIVE_PACKETS
@@ -292,13 +293,28 @@ def idle_sessions(live: DataFrame, gap: str = "300 seconds") -> DataFrame:
     )
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped so far, from the query's progress reports."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0))
-        for p in query.recentProgress
-        for op in p["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, over the whole life of each query: add it to the
+    session before the query starts (``spark.streams.addListener``)."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, query: StreamingQuery) -> int:
+        return self.dropped.get(str(query.id), 0)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -318,12 +334,23 @@ def read_table(spark: SparkSession, table: str, like: DataFrame) -> DataFrame:
     schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
     try:
         return spark.read.schema(schema).parquet(table)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 
 
+def current(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The present state of a sink table: after update mode the newest row of each key, after
+    complete mode (no keys) the rows of the newest batch."""
+    if keys is None:
+        newest = table.agg(F.max("batch_id").alias("batch_id"))
+        return table.join(F.broadcast(newest), "batch_id", "left_semi").drop("batch_id")
+    rest = [c for c in table.columns if c not in keys and c != "batch_id"]
+    newest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_newest"))
+    return newest.select(*keys, "_newest.*")
+
+
 def metrics_history(table: DataFrame, limit: int = 100) -> DataFrame:
     """The newest metric rows, 1,000 at most."""
     return table.orderBy(F.desc("end_us"), "feed").limit(min(limit, MAX_HISTORY))
@@ -420,7 +447,8 @@ def run_table(
     mode: str = "append",
     **trigger,
 ) -> StreamingQuery:
-    """Any of the aggregates to a table, through a per-batch step (ranking, alerts)."""
+    """Any of the aggregates to a table, through a per-batch step (ranking, alerts). In update and
+    complete mode a batch repeats what it changes: read the table through ``current``."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         _write_batch(transform(batch), table, batch_id)
