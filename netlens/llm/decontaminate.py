@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.shared import LOWER, bytes_of, pieces, span_hashes, spans, staged
+from netlens.llm.shared import LOWER, bytes_of, free_name, pieces, span_hashes, spans, staged
 
 WINDOW = 13
 #: Words between a window's rarest word and any other, for a proximity match.
@@ -241,5 +241,6 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated. An id with a contaminated and a clean row
     is judged by id: all its rows go. Rows with a null id stay."""
-    bad = judged(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    name = free_name(docs.columns, "_bad")
+    bad = judged(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(bad, F.col(id_col) == F.col(name), "left_anti")

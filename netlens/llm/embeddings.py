@@ -19,7 +19,7 @@ WINDOW = 128
 #: Chance of meeting a pair right at the threshold in some pass, from which passes are derived.
 RECALL = 0.97
 #: Vectors of one block where the links of a component are counted.
-BLOCK = 1024
+BLOCK = 256
 
 
 def passes(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.llm.graph import components
-from netlens.llm.shared import mixed, staged
+from netlens.llm.shared import free_name, mixed, staged
 
 SHINGLE = 4
 RADIUS = 4
@@ -245,5 +245,6 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     Rows that share that id with equal or different texts stay together; rows with a null id all
     stay, as they cannot be told apart."""
     classes = similar_groups(docs, id_col, text_col, **options)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
