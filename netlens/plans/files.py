@@ -51,11 +51,12 @@ i2 AS (SELECT path, list_filter([CASE WHEN null_ratio > 0.9 THEN 'Excessive null
     _V2
     + """SELECT path, size, round(null_ratio, 6) AS null_ratio, round(printable_ratio, 6) AS printable_ratio, round(lsb_ratio, 6) AS lsb_ratio,
   round(entropy, 6) AS entropy, high_sections::INT AS high_sections, round(section_variance, 6) AS section_variance,
+  (SELECT length(content) - length(rtrim(content, chr(0))) FROM payloads p WHERE p.path = v2.path)::BIGINT AS trailing_nulls,
   array_to_string(issues, '; ') AS issues FROM v2 JOIN i2 USING (path)""",
 )
 def v2(spark, sf):
     p = screen.profiles(derived.payloads(spark, sf))
-    return rounded(p.drop("trailing_nulls").withColumn("issues", F.concat_ws("; ", "issues")))
+    return rounded(p.withColumn("issues", F.concat_ws("; ", "issues")))
 
 
 def _t(s: str) -> str:

@@ -331,11 +331,12 @@ _ORDER = "coalesce(byte_count, 0) DESC, capture_id, src_ip, src_port NULLS FIRST
 @query(
     "t2_sorted_records",
     _REC
-    + f"SELECT {_SHOW} FROM (SELECT * FROM rec WHERE type = 'conversation' ORDER BY {_ORDER} LIMIT 500)",
+    + f"SELECT {_SHOW} FROM rec",
 )
 def t2(spark, sf):
-    q = SearchQuery((), sort_by="byte_count", limit=500)
-    return search.search(_conversations(spark, sf), q, _TIES).select(*_SHOWN)
+    """All records, those without a byte count last."""
+    q = SearchQuery((), sort_by="byte_count")
+    return search.search(_records(spark, sf), q, _TIES).select(*_SHOWN)
 
 
 @query(

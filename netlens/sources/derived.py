@@ -52,10 +52,9 @@ def _never_null(text: Column) -> Column:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer splits than the session has cores; larger inputs are left
-    alone, so nothing is shuffled at scale. Hashing keeps a recomputed task's rows the same."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Spread the rows over the session's cores by a hash, which keeps a recomputed task's rows
+    the same: the test tables are single files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
