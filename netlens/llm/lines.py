@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from netlens.llm.shared import bytes_of, mixed, pieces, span_hashes, spans, staged
+from netlens.llm.shared import bytes_of, free_name, mixed, pieces, span_hashes, spans, staged
 
 #: A border stands before about one line in so many.
 SPREAD = 3
@@ -123,19 +123,18 @@ def _rebuilt(texts: pa.Array, gone: list, copies: list, spread: int, long_line:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, long_line: int = LONG_LINE) -> DataFrame:
     """All rows and columns of ``docs``, with every chunk cut out of its text that stands, byte
-    for byte, in an earlier place of the table as well, and ``_removed``: the number of chunks
-    cut. The first place is the least (id, hash of the text, place in the text).
+    for byte, in an earlier place of the table as well, and last ``_removed`` (lengthened if the
+    name is taken): the number of chunks cut. The first place is the least (id, hash of the text, place in the text).
 
     Only hashes are shuffled to find what repeats. The texts meet the list of repeated chunks
     once, and only the bytes of those chunks go on to be compared with the first one's; a chunk
     whose bytes differ in spite of an equal hash stays. Rows that agree in id and text are one
     document stored more than once: all but one of them lose all their chunks. A null text
     stays null, a blank text as it is; a null id counts as the least; no rows give no rows."""
-    own = {"_key", "_text_hash", "_marks", "_unlike", "_copy", "_gone", "_removed"}
-    if own & set(docs.columns):
-        raise ValueError(f"the columns {sorted(own)} are this operator's own")
-    names, keys = docs.columns, ["_key", "_text_hash"]
-    at = names.index(text_col)
+    given, keys = docs.schema, ["_key", "_text_hash"]
+    at = given.names.index(text_col)
+    names = [f"c{k}" for k in range(len(given))]  # no clash with what is added here
+    docs, id_col, text_col = docs.toDF(*names), names[given.names.index(id_col)], names[at]
 
     rows = staged(chunk_rows(docs, id_col, text_col, spread, long_line), "chunks")
     place = F.struct(*keys, "ordinal")
@@ -173,4 +172,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sprea
             columns = [texts if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*names, "_removed"])
 
-    return ready.mapInArrow(rebuilt, schema)
+    return ready.mapInArrow(rebuilt, schema).toDF(*given.names, free_name(given.names, "_removed"))

@@ -202,4 +202,7 @@ def test_line_dedup_of_a_messy_table(messy, no_docs):
     sevens = sorted(len(r["text"]) for r in got if r["doc_id"] == 7)
     assert sevens[0] < sevens[1] == len(MESSY[6][1])
     assert lines.dedup(messy).columns == [*messy.columns, "_removed"]
+    clashing = messy.withColumnsRenamed({"hash": "_key", "n": "_removed", "id": "_gone", "source": "_bad"})
+    assert lines.dedup(clashing).columns == [*clashing.columns, "_removed_"]
+    assert lines.dedup(clashing).agg({"_removed_": "sum"}).first() == lines.dedup(messy).agg({"_removed": "sum"}).first()
     assert lines.dedup(no_docs).count() == 0
