@@ -8,6 +8,7 @@ document holds their counts.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.functions.measures import severity_score
 from netlens.operators import detect, dns, flows, http, tcp, traffic
 
 
@@ -49,17 +50,34 @@ def triage_sections(packets: DataFrame) -> DataFrame:
     )
 
 
+def _finding_sections(findings: DataFrame, issues: DataFrame) -> DataFrame:
+    """Finding counts and risk of ``findings`` and the capture-level ``issues``, which are read
+    once: both are counted together and told apart by a flag."""
+    kind = F.struct("type", "severity", F.col("n").alias("findings"))
+    issue = F.struct("type", "severity", "description", "value")
+    both = findings.select("capture_id", F.lit(False).alias("issue"), "type", "severity", F.lit(None).cast("string").alias("description"), F.lit(None).cast("double").alias("value"))
+    both = both.unionByName(issues.select("capture_id", F.lit(True).alias("issue"), "type", "severity", "description", "value"))
+    counted = both.groupBy("capture_id", "issue", "type", "severity", "description").agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    found = ~F.col("issue")
+    scores = F.when(found, F.col("n") * severity_score("severity"))
+    per_capture = counted.groupBy("capture_id").agg(
+        F.array_sort(F.collect_list(F.when(found, kind))).alias("finding_counts"),
+        F.array_sort(F.collect_list(F.when(F.col("issue"), issue))).alias("issues"),
+        F.sum(F.when(found, F.col("n"))).alias("n"),
+        F.round(F.least(F.lit(1.0), F.sum(scores)), 6).alias("score"),
+    )
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    risk = F.when(F.col("n") > 0, F.struct(F.col("n").alias("findings"), F.col("score").alias("risk_score"))).alias("risk")
+    return per_capture.select("capture_id", some("finding_counts"), some("issues"), risk)
+
+
 def deep_sections(packets: DataFrame, findings: DataFrame) -> DataFrame:
     """Protocol sections, finding counts and capture-level issues."""
-    issues = detect.load_and_performance(packets)
-    kinds = findings.groupBy("capture_id", "type", "severity").agg(F.count("*").alias("findings"))
     return (
         _section(tcp.triage(packets), "tcp")
         .join(_section(http.summary(packets), "http"), "capture_id", "full")
         .join(_section(dns.summary(packets), "dns"), "capture_id", "full")
-        .join(_list(kinds, "finding_counts", ["type", "severity"], "type", "severity", "findings"), "capture_id", "full")
-        .join(_list(issues, "issues", ["type"], "type", "severity", "description", "value"), "capture_id", "full")
-        .join(_section(detect.risk_score(findings), "risk"), "capture_id", "full")
+        .join(_finding_sections(findings, detect.load_and_performance(packets)), "capture_id", "full")
     )
 
 

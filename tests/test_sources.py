@@ -147,6 +147,8 @@ def test_documents(spark, tmp_path, packets):
     c = one(back.where("capture_id = 'c'").select("traffic_stats.packets", "protocols", "top_talkers", "finding_counts"))
     assert (c["packets"], c["protocols"], len(c["top_talkers"])) == (2, {"TCP": 2}, 2)
     assert c["finding_counts"] == [{"type": "TCP_RESET", "severity": "high", "findings": 2}]
+    want = {r["capture_id"]: r["risk_score"] for r in detect.risk_score(detect.packet_findings(p, detect.tcp_flags())).collect()}
+    assert {r["capture_id"]: r["risk"]["risk_score"] for r in docs.collect()} == want
     rows = report.numbered(report.export_rows(docs)).where("capture_id = 'c'")
     assert rows.where("section = 'traffic_stats' AND item = 'packets' AND value = '2'").count() == 1
     tables.write_export(rows, str(tmp_path / "csv"), "csv")
