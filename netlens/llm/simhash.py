@@ -22,7 +22,7 @@ SEED = 42
 FINGERPRINTS = 4
 SIMILARITY = 0.8
 #: Runs of a cell up to this length are compared pair by pair; longer ones by growing groups.
-SHORT_RUN = 64
+SHORT_RUN = 16
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
@@ -95,17 +95,36 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return ((fp | half) & even) | ((fp & half & even) << np.uint64(1))
 
 
-def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
-    """Edges (places of two values) that connect what links join within one cell, one fewer than
-    each connected group has values: group by group, each member against those not yet reached."""
-    grid, left, right = _unary(fp), [], []
-    rest = np.arange(len(fp))
+class _Values:
+    """The fingerprints of some rows (rows x count), those that the rows' cells are made of, and
+    their unary bit counts."""
+
+    def __init__(self, fps: np.ndarray, own: np.ndarray, near: int, radius: int):
+        self.fps, self.own, self.grid, self.near, self.radius = fps, own, _unary(own), near, radius
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows link: the Manhattan distance first, as the lower bound that it is,
+        then the own fingerprint, then all bits."""
+        found = np.bitwise_count(self.grid[x] ^ self.grid[y]) <= self.near
+        x, y = x[found], y[found]
+        exact = np.bitwise_count(self.own[x] ^ self.own[y]) <= self.near
+        if self.fps.shape[1] > 1:
+            x, y = x[exact], y[exact]
+            exact[exact] = np.bitwise_count(self.fps[x] ^ self.fps[y]).sum(axis=1) <= self.radius
+        found[found] = exact
+        return found
+
+
+def _forest(values: _Values, first: int, count: int) -> tuple[list, list]:
+    """Edges that connect what links join among ``count`` rows from ``first``, one fewer than each
+    connected group has rows: group by group, each member against those not yet reached."""
+    left, right = [], []
+    rest = np.arange(first, first + count)
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             at = todo.pop()
-            near = np.bitwise_count(grid[rest] ^ grid[at]) <= radius
-            near[near] = np.bitwise_count(fp[rest[near]] ^ fp[at]) <= radius
+            near = values.linked(np.full(len(rest), at), rest)
             reached = rest[near]
             left.append(np.full(len(reached), at))
             right.append(reached)
@@ -114,61 +133,63 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
     return left, right
 
 
-def _links(cell: np.ndarray, mask: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(cell: np.ndarray, mask: np.ndarray, values: _Values) -> tuple[np.ndarray, np.ndarray]:
     """Links within the cells of rows sorted by cell, as places of rows."""
-    new = np.ones(len(fp), bool)
+    new = np.ones(len(cell), bool)
     new[1:] = (cell[1:] != cell[:-1]) | (mask[1:] != mask[:-1])
     starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(fp)))
+    lengths = np.diff(np.append(starts, len(cell)))
     left, right = [], []
     long = lengths > SHORT_RUN
     for at, n in zip(starts[long], lengths[long], strict=True):
-        x, y = _forest(fp[at : at + n], radius)
-        left += [at + v for v in x]
-        right += [at + v for v in y]
+        x, y = _forest(values, at, n)
+        left += x
+        right += y
     place = np.flatnonzero(np.repeat(~long & (lengths > 1), lengths))
-    run, fp = np.repeat(np.arange(len(starts)), lengths)[place], fp[place]
-    grid = _unary(fp)
+    run = np.repeat(np.arange(len(starts)), lengths)[place]
     for step in range(1, SHORT_RUN):
-        if step >= len(fp) or not (near := run[step:] == run[:-step]).any():
+        if step >= len(run) or not (near := run[step:] == run[:-step]).any():
             break
-        near[near] = np.bitwise_count(grid[step:][near] ^ grid[:-step][near]) <= radius
-        near[near] = np.bitwise_count(fp[step:][near] ^ fp[:-step][near]) <= radius
-        left.append(place[:-step][near])
-        right.append(place[step:][near])
+        x, y = place[:-step][near], place[step:][near]
+        close = values.linked(x, y)
+        left.append(x[close])
+        right.append(y[close])
     none = [np.zeros(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _celled(values: DataFrame, fp: Column, place: int) -> DataFrame:
-    """(fp, node, mask, cell) of every cell that a value of ``values`` lies in."""
+def _celled(values: DataFrame, fps: Column, place: int) -> DataFrame:
+    """(fps, node, mask, cell) of every cell that fingerprint ``place`` of the rows lies in."""
     masks = cell_masks(RADIUS)
-    grid = bit_counts(fp)
+    grid = bit_counts(fps[place])
     cells = [
         F.struct(F.lit(place * len(masks) + k).cast("smallint").alias("mask"), grid.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("cell"))
         for k, m in enumerate(masks)
     ]
-    return values.select(fp.alias("fp"), "node", F.explode(F.array(*cells)).alias("at")).select("fp", "node", "at.mask", "at.cell")
+    return values.select(fps.alias("fps"), "node", F.explode(F.array(*cells)).alias("at")).select("fps", "node", "at.mask", "at.cell")
 
 
-def _pairs(cells: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between nodes whose values share a cell and differ in at most ``radius``
-    bits. Cells are worked through in the order of a sorted partition; a long run gives a
-    spanning forest, not its pairs."""
-    dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", "fp", "node")
+def _pairs(cells: DataFrame, near: int, radius: int) -> DataFrame:
+    """Edges (a, b) between nodes that share a cell, differ in at most ``near`` bits of the
+    fingerprint it is made of and in ``radius`` bits of all. Cells are worked through in the
+    order of a sorted partition; a long run gives a spanning forest, not its pairs."""
+    dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", "node")
+    per_place = len(cell_masks(RADIUS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def made(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
-            fp, node, mask, cell = (np.concatenate(x) for x in zip(*rows, strict=True))
-            a, b = _links(cell, mask, fp.view(np.uint64), radius)
+            fps, node, mask, cell = (np.concatenate(x) for x in zip(*rows, strict=True))
+            own = fps[np.arange(len(fps)), mask // per_place] if len(fps) else fps.ravel()
+            a, b = _links(cell, mask, _Values(fps, own, near, radius))
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            fps = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = [fps.reshape(batch.num_rows, -1), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4))]
             same = (rows[2] == rows[2][-1]) & (rows[3] == rows[3][-1])
             cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
             if not cut and held and (held[-1][2][-1], held[-1][3][-1]) == (rows[2][0], rows[3][0]):
@@ -186,7 +207,7 @@ def _pairs(cells: DataFrame, radius: int) -> DataFrame:
 def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between the distinct ``fp`` of ``values`` that connect exactly what pairs of
     at most ``radius`` (up to 4) differing bits connect: such a pair shares some cell."""
-    return _pairs(_celled(values.withColumn("node", F.col("fp")), F.col("fp"), 0), radius)
+    return _pairs(_celled(values.withColumn("node", F.col("fp")), F.array("fp"), 0), radius, radius)
 
 
 def bits_of_similarity(jaccard: float, bits: int) -> int:
@@ -199,12 +220,8 @@ def similar(nodes: DataFrame, count: int, jaccard: float) -> DataFrame:
     """Edges (a, b) between the rows (node, fps) of ``nodes`` whose ``count`` fingerprints together
     differ in no more bits than sets of that similarity do. Candidates share a cell of the same
     fingerprint and differ in few of its bits; all bits are compared then."""
-    cells = [_celled(nodes, F.col("fps")[k], k) for k in range(count)]
-    found = _pairs(reduce(DataFrame.unionByName, cells), bits_of_similarity(jaccard, 64) + 3)
-    found = found.join(nodes.select(F.col("node").alias("a"), F.col("fps").alias("x")), "a")
-    found = found.join(nodes.select(F.col("node").alias("b"), F.col("fps").alias("y")), "b")
-    unlike = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return found.where(unlike <= bits_of_similarity(jaccard, 64 * count)).select("a", "b")
+    cells = [_celled(nodes, F.col("fps"), k) for k in range(count)]
+    return _pairs(reduce(DataFrame.unionByName, cells), bits_of_similarity(jaccard, 64) + 3, bits_of_similarity(jaccard, 64 * count))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -59,7 +59,7 @@ def test_every_link_lies_in_some_cell(spark, radius):
 
 def test_a_long_cell_gives_a_forest():
     values = np.array(sorted({(1 << a) | (1 << b) for a in range(24) for b in range(24)} | {0xFFFF << 48}), np.uint64)
-    left, right = simhash._forest(values, 4)
+    left, right = simhash._forest(simhash._Values(values[:, None], values, 4, 4), 0, len(values))
     left, right = np.concatenate(left), np.concatenate(right)
     assert len(left) == len(values) - 2 and (np.bitwise_count(values[left] ^ values[right]) <= 4).all()
 
