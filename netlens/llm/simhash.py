@@ -2,7 +2,6 @@
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -11,22 +10,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from netlens.llm.graph import components
-from netlens.llm.shared import free_name, mixed, staged
+from netlens.llm.shared import free_name, mixed, pieces, staged
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints, of 64 bits each, that tell similar texts, and the least Jaccard similarity.
-FINGERPRINTS = 4
+#: Least Jaccard similarity of similar texts.
 SIMILARITY = 0.8
+#: Bands of least hashes: candidates agree in a whole band, as 99.98 % of pairs at 0.8 do.
+BANDS, BAND = 36, 7
+#: Least hashes that a sketch has one bit of each, and the standard deviations that it allows.
+SKETCH, DEVIATIONS = 256, 6
+#: Partners that a text is first compared with where a cell is long.
+PARTNERS = 8
 #: Runs of a cell up to this length are compared pair by pair; longer ones by growing groups.
 SHORT_RUN = 16
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
 _EVEN = 0x5555555555555555
+_SALTS, _ODDS, _JOIN = (x | np.uint64(1) for x in np.random.default_rng(SEED).integers(0, 1 << 64, (3, SKETCH), np.uint64))
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -210,18 +217,147 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _pairs(_celled(values.withColumn("node", F.col("fp")), F.array("fp"), 0), radius, radius)
 
 
-def bits_of_similarity(jaccard: float, bits: int) -> int:
-    """Bits in which fingerprints of two equally large sets differ on the average: their cosine
-    is 2 J / (1 + J), and a bit differs with chance angle / pi."""
-    return int(bits * math.acos(2 * jaccard / (1 + jaccard)) / math.pi)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of ``SKETCH`` permutations."""
+    out = np.full(SKETCH, np.uint64((1 << 64) - 1))
+    for lo in range(0, len(hashes), 2048):
+        np.minimum(out, ((hashes[lo : lo + 2048, None] ^ _SALTS) * _ODDS).min(axis=0), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key per band; equal keys of different bands are as unlikely as equal hashes."""
+    return mixed((least[: BANDS * BAND] * _JOIN[: BANDS * BAND]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64) + _SALTS[:BANDS]).view(np.int64)
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each least hash: two sketches differ in a share of (1 - J) / 2 on the average."""
+    return np.packbits((mixed(least) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+
+
+def sketch_bits(jaccard: float) -> int:
+    """Bits in which sketches of sets of that similarity differ at most, but for chances under
+    one in 10 million."""
+    p = (1 - jaccard) / 2
+    return math.ceil(SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, node, keys, sketch) of every row; texts without words are node 0 and have no keys."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            nodes, keys, sketches = batch.column(1).to_pylist(), [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                hashes = shingle_hashes(text, shingle)
+                if len(hashes):
+                    least = minima(hashes)
+                    keys.append(band_keys(least))
+                    sketches.append(sketch(least))
+                else:
+                    nodes[i] = 0
+                    keys.append([])
+                    sketches.append([])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names)
+
+    names = ["id", "node", "keys", "sketch"]
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    longs = T.ArrayType(T.LongType())
+    kinds = [rows.schema["id"].dataType, T.LongType(), longs, longs]
+    return rows.mapInArrow(made, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns (key, node, sketch, root) of whole cells out of batches sorted by key."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)]
+        rows.insert(2, batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if not cut and held and held[-1][0][-1] == rows[0][0]:
+            held.append(rows)
+            continue
+        if held or cut:
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in rows], strict=True)]
+        held = [[x[cut:] for x in rows]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _candidates(nodes: DataFrame, bits: int, again: bool) -> DataFrame:
+    """(a, b, bits, long): pairs of nodes (node, keys, sketch, root) that share a cell and whose
+    sketches differ in at most ``bits`` bits. Short cells give all pairs. Long ones give one
+    partner for each node, in an order of their own, and a row without b for each node; or, if
+    they are read ``again``, all pairs of different roots, and short ones nothing."""
+    cells = nodes.select(F.explode("keys").alias("key"), "node", "sketch", "root")
+    dealt = cells.repartition("key").sortWithinPartitions("key", "node")
+    names = ["a", "b", "bits", "long"]
 
-
-def similar(nodes: DataFrame, count: int, jaccard: float) -> DataFrame:
-    """Edges (a, b) between the rows (node, fps) of ``nodes`` whose ``count`` fingerprints together
-    differ in no more bits than sets of that similarity do. Candidates share a cell of the same
-    fingerprint and differ in few of its bits; all bits are compared then."""
-    cells = [_celled(nodes, F.col("fps"), k) for k in range(count)]
-    return _pairs(reduce(DataFrame.unionByName, cells), bits_of_similarity(jaccard, 64) + 3, bits_of_similarity(jaccard, 64 * count))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, marks, root in _cells_of(batches):
+            marks = marks.view(np.uint64)
+
+            def told(x: np.ndarray, y: np.ndarray, long: bool, node=node, marks=marks) -> Iterator[pa.RecordBatch]:
+                apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1)
+                near = apart <= bits
+                a, b = node[x[near]], node[y[near]]
+                columns = [np.minimum(a, b), np.maximum(a, b), apart[near].astype(np.int32), np.full(len(a), long)]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            lengths = np.diff(np.append(starts, len(key)))
+            if not again:
+                place = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
+                run = key[place]
+                for step in range(1, SHORT_RUN):
+                    same = run[step:] == run[:-step]
+                    if not same.any():
+                        break
+                    yield from told(place[:-step][same], place[step:][same], False)
+            for at, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN], strict=True):
+                if not again:
+                    order = at + np.argsort(mixed((node[at : at + n] ^ key[at]).view(np.uint64)), kind="stable")
+                    yield from told(order[:-1], order[1:], True)
+                    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + n]), *none, pa.array(np.ones(n, bool))], names)
+                else:
+                    for i in range(at, at + n):
+                        y = np.arange(i + 1, at + n)
+                        y = y[root[y] != root[i]]
+                        yield from told(np.full(len(y), i), y, True)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, bits int, long boolean")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, shingle: int, jaccard: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have that Jaccard similarity. Only texts of nodes in
+    a pair become sets; ``firsts`` (node, first) names one document of each node."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "set"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= jaccard * max(len(x), len(y)) else 0
+                good.append(both >= jaccard * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").hint("merge")
+    texts = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    texts = texts.join(ends, (texts["node"] == ends["node"]) & texts["own"].eqNullSafe(ends["first"]), "left_semi").select("node", "text")
+    made = staged(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    left = made.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge")
+    right = made.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -237,16 +373,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("node").alias("fingerprint"), "component_id")
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = FINGERPRINTS, jaccard: float = SIMILARITY
-) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = SIMILARITY) -> DataFrame:
     """(id, component_id) like ``near_duplicates``, for a lower similarity than one fingerprint
-    and few bits can tell: links are those of ``similar``. The same cases give the same results;
-    texts without words have fingerprints of zeros and form one group."""
-    made = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle, count).alias("fps"))
-    rows = staged(made.withColumn("node", F.xxhash64("fps")), "fingerprints")
-    nodes = staged(rows.groupBy("node").agg(F.first("fps").alias("fps")), "nodes")
-    return _classes(rows.select("id", "node"), similar(nodes, count, jaccard)).select(F.col("id").alias(id_col), "component_id")
+    and few bits can tell: two texts link when their sets of shingles have a Jaccard similarity of
+    ``jaccard`` or more. Bands of least hashes name candidates, the sets themselves decide.
+
+    Each text of a long cell is compared with a few others first; what stays in different groups
+    then is compared pair by pair. Texts without words form one group."""
+    rows = staged(_keyed(docs, id_col, text_col, shingle), "least-hashes")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = staged(nodes, "nodes")
+    bits, firsts = sketch_bits(jaccard), nodes.select("node", "first")
+    found = staged(_candidates(nodes.select("node", "keys", "sketch", F.col("node").alias("root")), bits, False), "candidates")
+    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.min("long").alias("long"))
+    rank = F.row_number().over(Window.partitionBy("a", "long").orderBy("bits", "b"))
+    pairs = staged(pairs.withColumn("rank", rank).where(~F.col("long") | (F.col("rank") <= PARTNERS)).select("a", "b"), "pairs")
+    edges = staged(_verified(pairs, docs, firsts, id_col, text_col, shingle, jaccard), "links")
+    crowd = staged(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "crowd")
+    if not crowd.isEmpty():
+        left = nodes.join(crowd, "node").join(components(edges), "node", "left").select("node", "keys", "sketch", F.coalesce("root", "node").alias("root"))
+        rest = staged(_candidates(left, bits, True).select("a", "b").distinct(), "pairs")
+        edges = edges.unionByName(staged(_verified(rest, docs, firsts, id_col, text_col, shingle, jaccard), "links"))
+    return _classes(rows.select("id", "node"), edges).select(F.col("id").alias(id_col), "component_id")
 
 
 def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -91,6 +91,35 @@ def test_similar_texts_group_and_others_do_not(spark):
     assert sum(r["component_id"] == r["doc_id"] // 10 * 10 for r in got) >= 0.95 * len(got)
 
 
+def test_isolated_pairs_link_by_the_similarity_of_their_sets(spark):
+    rows, want = [], {}
+    for g in range(240):
+        words = [f"w{g}x{i}" for i in range(204)]
+        changed = list(words)
+        for k in range(4 if g % 2 else 5):  # 180 / 220 or 175 / 225 shingles
+            changed[10 + 40 * k] = f"new{g}x{k}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(changed))]
+        want[2 * g + 1] = 2 * g if g % 2 else 2 * g + 1
+    got = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5).collect())
+    assert {i: got[i] for i in want} == want
+
+
+def test_long_cells_link_whom_sets_link(spark):
+    rows = []
+    for g in range(3):  # the groups share cells, at a similarity of 0.72 to each other
+        for k in range(40):
+            words = [f"w{i}" for i in range(404)]
+            for j in range(7):
+                words[50 * j + 20] = f"group{g}x{j}" if g else words[50 * j + 20]
+            words[398] = f"own{g}x{k}"
+            rows.append((100 * g + k, " ".join(words)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)]
+    want = least_reachable(len(rows), links)
+    got = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5).collect())
+    assert [got[i] for i, _ in rows] == [rows[r][0] for r in want]
+
+
 def test_one_document_of_each_group_stays(messy):
     left = sorted((r["doc_id"] or 0) for r in simhash.kept(messy).collect())
     assert left == [0, 0, 1, 2, 5, 7, 7, 9, 9, 10]
