@@ -76,16 +76,16 @@ SUFFIXES = ["suffix", "domain", "section"]
 
 
 class Filter:
-    """Trees and the statistics of suffixes they were trained with."""
+    """Trees, the statistics of suffixes they were trained with, and on how many rows."""
 
-    def __init__(self, model: GBTClassificationModel | None, rates: dict[str, DataFrame], base: float):
-        self.model, self.rates, self.base = model, rates, base
+    def __init__(self, model: GBTClassificationModel | None, rates: dict[str, DataFrame], base: float, sampled: int):
+        self.model, self.rates, self.base, self.sampled = model, rates, base, sampled
 
     def vectors(self, urls: DataFrame) -> DataFrame:
         """Suffix statistics join as smoothed block rates; an unknown suffix has the base rate."""
         rows = lexical(urls)
         for name in SUFFIXES:
-            rows = rows.join(F.broadcast(self.rates[name]), name, "left")  # a row per labelled URL at most
+            rows = rows.join(self.rates[name], name, "left")
             rows = rows.withColumn(f"f_{name}", F.coalesce(f"rate_{name}", F.lit(self.base))).drop(f"rate_{name}")
         return VectorAssembler(inputCols=[*LEXICAL, *(f"f_{s}" for s in SUFFIXES)], outputCol="features").transform(rows)
 
@@ -99,21 +99,23 @@ class Filter:
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Filter:
-    """Fit on labelled URLs (url, host, path, label 1 for block): about ``max_labelled`` of them,
-    chosen by a hash of the URL. Suffix statistics are counts over the same bounded rows. With
+    """Fit on labelled URLs (url, host, path, label 1 for block, and an id if there is one): trees on
+    about ``max_labelled`` rows, chosen by a hash of id and URL; suffix statistics on all rows. With
     labels of one class only, its rate is the chance of every URL; without any, 1/2."""
-    counted = labelled.agg(F.count("*").alias("n")).first()["n"]
+    sums = lexical(labelled).groupBy(*SUFFIXES).agg(F.sum(F.col("label").cast("double")).alias("blocked"), F.count("*").alias("n"))
+    sums = staged(sums, "label-counts")
+    counted, blocked = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    base = blocked / counted if counted else 0.5
+    rates = {}
+    for name in SUFFIXES:
+        rate = (F.sum("blocked") + PRIOR * base) / (F.sum("n") + PRIOR)
+        rates[name] = staged(sums.where(F.col(name).isNotNull()).groupBy(name).agg(rate.alias(f"rate_{name}")), f"rates-{name}")
     share = min(1.0, max_labelled / max(1, counted))
-    rows = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000)).select("url", "host", "path", F.col("label").cast("double"))
+    salted = F.xxhash64(*(c for c in ("id", "url") if c in labelled.columns))
+    rows = labelled.where(F.pmod(salted, F.lit(1_000_000)) < int(share * 1_000_000)).select("url", "host", "path", F.col("label").cast("double"))
     rows = staged(rows, "labelled-urls")
     kept, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    base = blocked / kept if kept else 0.5
-    known = lexical(rows)
-    rates = {}
-    for name in SUFFIXES:
-        rate = (F.sum("label") + PRIOR * base) / (F.count("*") + PRIOR)
-        rates[name] = known.where(F.col(name).isNotNull()).groupBy(name).agg(rate.alias(f"rate_{name}"))
-    made = Filter(None, rates, base)
+    made = Filter(None, rates, base, kept)
     if 0 < blocked < kept:
         trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7)
         made.model = trees.fit(made.vectors(rows).select("features", "label"))

@@ -116,3 +116,16 @@ def test_without_both_classes_the_rate_decides(spark, labels):
     table = spark.createDataFrame([(f"http://a{i}.net/", f"a{i}.net", "/", y) for i, y in enumerate(labels)], "url string, host string, path string, label int")
     fresh = spark.createDataFrame([("http://b.net/", "b.net", "/")], "url string, host string, path string")
     assert urls.train(table).chance(fresh, "score").first()["score"] == (1.0 if labels else 0.5)
+
+
+def test_rates_count_all_labelled_rows_and_the_sample_is_bounded(spark):
+    hot = [(i, "http://hot.org/a/b", "hot.org", "/a/b", 1) for i in range(2000)]
+    rare = [(i, f"http://s{i % 500}.net/x", f"s{i % 500}.net", "/x", i % 2) for i in range(2000, 4000)]
+    table = spark.createDataFrame(hot + rare, "id bigint, url string, host string, path string, label int")
+    made = urls.train(table, 400)
+    rates = dict(made.rates["domain"].collect())
+    base = 0.75
+    want = {f"s{k}.net": (4 * (k % 2) + urls.PRIOR * base) / (4 + urls.PRIOR) for k in range(500)}
+    want["hot.org"] = (2000 + urls.PRIOR * base) / (2000 + urls.PRIOR)
+    assert rates == pytest.approx(want)
+    assert made.base == base and 200 < made.sampled < 600
