@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import chat, credentials, decontaminate, embeddings, lines, packing, quality, sharding, simhash, urls
+from netlens.llm import chat, credentials, decontaminate, embeddings, lines, merkle, packing, phrases, quality, sharding, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,118 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_token_counts")
+def op11(spark, sf_dir):
+    found = tokens.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query(
+    "op12_phrase_collocations",
+    """
+WITH words AS (
+  SELECT lang, doc, piece, unnest(w) AS word, unnest(range(len(w))) AS i
+  FROM (SELECT lang, doc, piece, list_filter(string_split_regex(t, '[ \\t]+'), lambda x: x <> '') AS w
+        FROM (SELECT lang, doc, unnest(p) AS t, unnest(range(len(p))) AS piece
+              FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                           string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[.,;:!?\\x0A-\\x0D]') AS p
+                    FROM documents)))),
+near AS (
+  SELECT lang, word, lead(word) OVER q AS second, lead(word, 2) OVER q AS third
+  FROM words WINDOW q AS (PARTITION BY doc, piece ORDER BY i)),
+one AS (SELECT lang, word AS p, count(*) AS f FROM near GROUP BY ALL),
+two AS (SELECT lang, word AS x, second AS y, count(*) AS f FROM near WHERE second IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, word AS x, second AS y, third AS z, count(*) AS f FROM near WHERE third IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+cuts AS (
+  SELECT lang, x || ' ' || y AS phrase, t.f AS a, 1 AS k, o.f AS l, u.f AS r
+  FROM two t JOIN one o USING (lang) JOIN one u USING (lang) WHERE o.p = x AND u.p = y
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, o.f, u.f
+  FROM three t JOIN one o ON o.lang = t.lang AND o.p = t.x JOIN two u ON u.lang = t.lang AND u.x = t.y AND u.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, u.f, o.f
+  FROM three t JOIN one o ON o.lang = t.lang AND o.p = t.z JOIN two u ON u.lang = t.lang AND u.x = t.x AND u.y = t.y),
+scores AS (SELECT *, (1000000 * a::HUGEINT * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f
+  FROM (SELECT lang, x || ' ' || y AS phrase, f FROM three UNION ALL SELECT lang, y || ' ' || z, f FROM three) GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+  WHERE g.f IS NULL OR 100 * g.f < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+""",
+)
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_merkle_manifest",
+    """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, CASE WHEN parity = 0 THEN replace(text, chr(10), '') ELSE text END AS text, text AS kept, lang, n_chars
+  FROM (SELECT *, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+          lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) & 1 AS low, 1 - low AS parity
+        FROM documents)),
+fields AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front FROM rows),
+hashed AS (
+  SELECT doc_id, source, sha256(front || coalesce(strlen(kept) || ':' || kept, '-')) AS leaf,
+         sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS changed FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+tree AS (
+  SELECT source, 0 AS level, pos AS i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, level, i // 3, n),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, place AS i, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+nodes AS (
+  SELECT source, FALSE AS above, level, i, h FROM tree WHERE n > 1
+  UNION ALL SELECT NULL, TRUE, level, i, h FROM top WHERE n > 1),
+sides AS (
+  SELECT above, source, level, i,
+         coalesce(string_agg(h, '' ORDER BY i) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '' ORDER BY i) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes WINDOW run AS (PARTITION BY above, source, level, i // 3 ORDER BY i)),
+paths AS (
+  SELECT l.source, l.pos, s.above, s.level, s.before, s.after
+  FROM leaves l JOIN sides s ON NOT s.above AND s.source IS NOT DISTINCT FROM l.source AND s.i = l.pos // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT l.source, l.pos, s.above, s.level, s.before, s.after
+  FROM leaves l JOIN subroots p ON p.source IS NOT DISTINCT FROM l.source JOIN sides s ON s.above AND s.i = p.place // (3 ** s.level)::BIGINT),
+steps AS (SELECT *, row_number() OVER (PARTITION BY source, pos ORDER BY above, level) AS step FROM paths),
+fold AS (
+  SELECT source, pos, 0::BIGINT AS step, changed AS h FROM leaves
+  UNION ALL
+  SELECT f.source, f.pos, s.step, sha256(s.before || f.h || s.after)
+  FROM fold f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.pos = f.pos AND s.step = f.step + 1),
+folded AS (SELECT source, pos, arg_max(h, step) AS h FROM fold GROUP BY source, pos),
+proofs AS (
+  SELECT l.source, l.pos, sha256(coalesce(string_agg(s.before || s.after, '' ORDER BY s.step), '')) AS proof
+  FROM leaves l LEFT JOIN steps s ON s.source IS NOT DISTINCT FROM l.source AND s.pos = l.pos GROUP BY l.source, l.pos)
+SELECT l.doc_id, l.leaf, p.subroot, r.h AS root, q.proof AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN subroots p ON p.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT h FROM top WHERE n = 1) r
+JOIN proofs q ON q.source IS NOT DISTINCT FROM l.source AND q.pos = l.pos JOIN folded f ON f.source IS NOT DISTINCT FROM l.source AND f.pos = l.pos
+""",
+)
+def op13(spark, sf_dir):
+    """Proofs of all documents; the lines of about half of them were joined since."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    joined = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.leaves(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": joined})
+    proved = merkle.manifest(rows)
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
