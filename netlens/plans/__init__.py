@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("traffic", "flows", "protocols", "detection", "search", "catalog", "graph", "anomaly", "live", "files")
+MODULES = ("traffic", "flows", "protocols", "detection", "search", "catalog", "graph", "anomaly", "live", "files", "streams")
 
 
 def load():
