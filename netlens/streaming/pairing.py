@@ -8,6 +8,7 @@ entry has an event-time timer that takes it out again."""
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,9 +170,17 @@ class Connections(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         before = tuple(self.seen.get()) if self.seen.exists() else None
+        parts = [(p["us"].to_numpy(), p["size"].fillna(0).to_numpy(np.int64)) for p in rows]
+        us, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(us, kind="stable")
+        us, size = us[order], size[order]
         now = before
-        for part in rows:
-            made = (int(part["us"].min()), int(part["us"].max()), len(part), int(part["size"].fillna(0).sum()))
+        cuts = np.flatnonzero(np.diff(us) > self.ttl_us) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(us)], strict=True):
+            made = (int(us[lo]), int(us[hi - 1]), int(hi - lo), int(size[lo:hi].sum()))
+            if now is not None and made[0] - now[1] > self.ttl_us:
+                yield self._row(key, now, True)
+                now = None
             now = made if now is None else (min(now[0], made[0]), max(now[1], made[1]), now[2] + made[2], now[3] + made[3])
         self.seen.update(now)
         if before is None or now[1] > before[1]:
@@ -196,8 +205,8 @@ class Connections(StatefulProcessor):
 def connections(feed: DataFrame, ttl_us: int = TTL_US) -> DataFrame:
     """The live connection table of a feed with event time and watermark (``live.with_event_time``),
     in update mode: a row for every pair that a batch changes, and a last one (``closed``) when the
-    watermark finds the pair silent for the TTL, which takes it out of the state. A pair that comes
-    back later starts anew."""
+    watermark finds the pair silent for the TTL, which takes it out of the state, or when it comes
+    back after a longer silence and starts anew."""
     keyed = feed.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("feed", "src_ip", "dst_ip")], "ts", net.us("ts").alias("us"), "size")
     schema = "feed string, src_ip string, dst_ip string, first_seen_us bigint, last_seen_us bigint, packets bigint, bytes bigint, closed boolean"
     table = keyed.groupBy("feed", "src_ip", "dst_ip").transformWithStateInPandas(Connections(ttl_us), schema, "Update", "EventTime")
