@@ -238,9 +238,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated. An id with a contaminated and a clean row
-    is judged by id: all its rows go. Rows with a null id stay."""
-    name = free_name(docs.columns, "_bad")
-    bad = judged(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(bad, F.col(id_col) == F.col(name), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated. What a row holds decides, not its id: rows
+    are judged by their text (by a 64-bit hash of it when the verdict is brought back), so null
+    and repeated ids are like any others."""
+    name = free_name(docs.columns, "_text")
+    texts = docs.select(F.xxhash64(text_col).alias(name), F.col(text_col).alias("text"))
+    bad = judged(texts, benchmark, name, "text", **options).where("contaminated").select(name).distinct()
+    return docs.join(bad, F.xxhash64(docs[text_col]) == bad[name], "left_anti")

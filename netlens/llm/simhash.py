@@ -27,6 +27,10 @@ BANDS, BAND = 36, 7
 SKETCH, DEVIATIONS = 256, 6
 #: Partners that a text is first compared with where a cell is long.
 PARTNERS = 8
+#: Bytes of shingle sets that one block of a long cell brings together.
+BLOCK_BYTES = 1 << 24
+#: White space between words.
+BLANKS = " \t\n\x0b\x0c\r"
 #: Runs of a cell up to this length are compared pair by pair; longer ones by growing groups.
 SHORT_RUN = 16
 
@@ -269,13 +273,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns (key, node, sketch, root) of whole cells out of batches sorted by key."""
+    """Columns (key, node, sketch) of whole cells out of batches sorted by key."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)]
-        rows.insert(2, batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        rows.append(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
         if not cut and held and held[-1][0][-1] == rows[0][0]:
             held.append(rows)
@@ -287,17 +291,17 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _candidates(nodes: DataFrame, bits: int, again: bool) -> DataFrame:
-    """(a, b, bits, long): pairs of nodes (node, keys, sketch, root) that share a cell and whose
+def _candidates(nodes: DataFrame, bits: int) -> DataFrame:
+    """(a, b, bits, long, key): pairs of nodes (node, keys, sketch) that share a cell and whose
     sketches differ in at most ``bits`` bits. Short cells give all pairs. Long ones give one
-    partner for each node, in an order of their own, and a row without b for each node; or, if
-    they are read ``again``, all pairs of different roots, and short ones nothing."""
-    cells = nodes.select(F.explode("keys").alias("key"), "node", "sketch", "root")
+    partner for each node, in an order of their own, and (node, null, null, true, key of the cell)
+    for each node."""
+    cells = nodes.select(F.explode("keys").alias("key"), "node", "sketch")
     dealt = cells.repartition("key").sortWithinPartitions("key", "node")
-    names = ["a", "b", "bits", "long"]
+    names = ["a", "b", "bits", "long", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, marks, root in _cells_of(batches):
+        for key, node, marks in _cells_of(batches):
             marks = marks.view(np.uint64)
 
             def told(x: np.ndarray, y: np.ndarray, long: bool, node=node, marks=marks) -> Iterator[pa.RecordBatch]:
@@ -306,42 +310,122 @@ def _candidates(nodes: DataFrame, bits: int, again: bool) -> DataFrame:
                 a, b = node[x[near]], node[y[near]]
                 columns = [np.minimum(a, b), np.maximum(a, b), apart[near].astype(np.int32), np.full(len(a), long)]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(a), pa.int64())], names)
 
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             lengths = np.diff(np.append(starts, len(key)))
-            if not again:
-                place = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
-                run = key[place]
-                for step in range(1, SHORT_RUN):
-                    same = run[step:] == run[:-step]
-                    if not same.any():
-                        break
-                    yield from told(place[:-step][same], place[step:][same], False)
+            place = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
+            run = key[place]
+            for step in range(1, SHORT_RUN):
+                same = run[step:] == run[:-step]
+                if not same.any():
+                    break
+                yield from told(place[:-step][same], place[step:][same], False)
             for at, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN], strict=True):
-                if not again:
-                    order = at + np.argsort(mixed((node[at : at + n] ^ key[at]).view(np.uint64)), kind="stable")
-                    yield from told(order[:-1], order[1:], True)
-                    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + n]), *none, pa.array(np.ones(n, bool))], names)
-                else:
-                    for i in range(at, at + n):
-                        y = np.arange(i + 1, at + n)
-                        y = y[root[y] != root[i]]
-                        yield from told(np.full(len(y), i), y, True)
+                order = at + np.argsort(mixed((node[at : at + n] ^ key[at]).view(np.uint64)), kind="stable")
+                yield from told(order[:-1], order[1:], True)
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + n]), *none, pa.array(np.ones(n, bool)), pa.array(key[at : at + n])], names)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, bits int, long boolean, key bigint")
+
+
+def _united(node: np.ndarray, part: np.ndarray, root: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], bits: int, jaccard: float) -> list[tuple[int, int]]:
+    """Links between rows of different roots that join what was not joined yet, so at most one for
+    each row: each row's set against all sets left that its sketch allows, at once. Rows of two
+    parts are compared across the parts only."""
+    n = len(node)
+    group = np.unique(root, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.append(0, np.cumsum(size))
+    seen = np.zeros(int(flat.max()) + 1, bool)
+    across = part[0] != part[-1]
+    out = []
+    for x in range(n - 1):
+        y = np.arange(x + 1, n)
+        y = y[(group[y] != group[x]) & (np.minimum(size[y], size[x]) >= jaccard * np.maximum(size[y], size[x]))]
+        if across:
+            y = y[part[y] != part[x]]
+        y = y[np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1) <= bits]
+        if not len(y):
+            continue
+        seen[flat[at[x] : at[x + 1]]] = True
+        both = np.add.reduceat(seen[np.concatenate([flat[at[k] : at[k + 1]] for k in y])], np.append(0, np.cumsum(size[y])[:-1]), dtype=np.int64)
+        seen[flat[at[x] : at[x + 1]]] = False
+        for k in y[both >= jaccard * (size[x] + size[y] - both)]:
+            if group[k] != group[x]:
+                out.append((node[x], node[k]))
+                group[group == group[k]] = group[x]
+    return out
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, bits int, long boolean")
 
+def _within_cells(cells: DataFrame, members: DataFrame, bits: int, jaccard: float, block_bytes: int) -> DataFrame:
+    """Edges (a, b) that connect what links of that similarity connect inside the cells (key, node)
+    beyond the roots of ``members`` (node, root, sketch, set).
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, shingle: int, jaccard: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have that Jaccard similarity. Only texts of nodes in
-    a pair become sets; ``firsts`` (node, first) names one document of each node."""
+    A cell is cut into blocks of about ``block_bytes`` of sets; each block, and each two blocks of a
+    cell, is a group of its own, whose rows bring their sets along. What leaves a group is at most
+    one edge for each of its rows. Cells whose members have one root already have nothing to add."""
+    told = cells.join(members.select("node", "root", F.octet_length("set").alias("bytes")), "node")
+    mixed_cells = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    told = told.join(mixed_cells, "key", "left_semi")
+    inside = Window.partitionBy("key")
+    upto = F.sum("bytes").over(inside.orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    told = told.select("key", "node", F.floor(upto / F.lit(block_bytes)).cast("int").alias("part"))
+    told = told.withColumn("last", F.max("part").over(inside)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    met = told.select("key", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(members, "node")
+    names = ["a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def made() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            node, part, root = (rows.column(c).to_numpy() for c in ("node", "part", "root"))
+            marks = np.array(rows.column("sketch").to_pylist(), np.int64).view(np.uint64)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")]
+            edges = _united(node, part, root, marks, sets, bits, jaccard) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            first = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1)
+            for lo, hi in zip(first, np.append(first[1:], batch.num_rows), strict=True):
+                if held and now != (key[lo], i[lo], j[lo]):
+                    yield made()
+                    held.clear()
+                now = (key[lo], i[lo], j[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield made()
+
+    dealt = met.select("key", "i", "j", "part", "node", "root", "sketch", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set): the distinct shingle hashes of the nodes (node, first), whose text the row of
+    id ``first`` has."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "set"])
 
+    texts = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    nodes = nodes.hint("merge")
+    texts = texts.join(nodes, (texts["node"] == nodes["node"]) & texts["own"].eqNullSafe(nodes["first"]), "left_semi").select("node", "text")
+    return staged(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, shingle: int, jaccard: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have that Jaccard similarity. Only texts of nodes in
+    a pair become sets; ``firsts`` (node, first) names one document of each node."""
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -351,10 +435,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
                 good.append(both >= jaccard * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").hint("merge")
-    texts = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    texts = texts.join(ends, (texts["node"] == ends["node"]) & texts["own"].eqNullSafe(ends["first"]), "left_semi").select("node", "text")
-    made = staged(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node")
+    made = _sets(ends, docs, id_col, text_col, shingle)
     left = made.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge")
     right = made.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
@@ -373,28 +455,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("node").alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) like ``near_duplicates``, for a lower similarity than one fingerprint
-    and few bits can tell: two texts link when their sets of shingles have a Jaccard similarity of
-    ``jaccard`` or more. Bands of least hashes name candidates, the sets themselves decide.
-
-    Each text of a long cell is compared with a few others first; what stays in different groups
-    then is compared pair by pair. Texts without words form one group."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, jaccard: float, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, node), a node for each text, and edges (a, b) that connect what links of that
+    similarity connect."""
     rows = staged(_keyed(docs, id_col, text_col, shingle), "least-hashes")
     nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = staged(nodes, "nodes")
     bits, firsts = sketch_bits(jaccard), nodes.select("node", "first")
-    found = staged(_candidates(nodes.select("node", "keys", "sketch", F.col("node").alias("root")), bits, False), "candidates")
+    found = staged(_candidates(nodes.select("node", "keys", "sketch"), bits), "candidates")
     pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.min("long").alias("long"))
     rank = F.row_number().over(Window.partitionBy("a", "long").orderBy("bits", "b"))
     pairs = staged(pairs.withColumn("rank", rank).where(~F.col("long") | (F.col("rank") <= PARTNERS)).select("a", "b"), "pairs")
     edges = staged(_verified(pairs, docs, firsts, id_col, text_col, shingle, jaccard), "links")
-    crowd = staged(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "crowd")
+    crowd = found.where("b IS NULL").select("key", F.col("a").alias("node"))
     if not crowd.isEmpty():
-        left = nodes.join(crowd, "node").join(components(edges), "node", "left").select("node", "keys", "sketch", F.coalesce("root", "node").alias("root"))
-        rest = staged(_candidates(left, bits, True).select("a", "b").distinct(), "pairs")
-        edges = edges.unionByName(staged(_verified(rest, docs, firsts, id_col, text_col, shingle, jaccard), "links"))
-    return _classes(rows.select("id", "node"), edges).select(F.col("id").alias(id_col), "component_id")
+        who = staged(crowd.select("node").distinct().join(nodes.select("node", "first", "sketch"), "node"), "crowd")
+        members = who.join(components(edges), "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+        members = staged(members.join(_sets(who.select("node", "first"), docs, id_col, text_col, shingle), "node"), "members")
+        edges = edges.unionByName(staged(_within_cells(crowd, members, bits, jaccard, block_bytes), "links"))
+    return rows.select("id", "node"), edges
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = SIMILARITY, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(id, component_id) like ``near_duplicates``, for a lower similarity than one fingerprint
+    and few bits can tell: two texts link when their sets of shingles have a Jaccard similarity of
+    ``jaccard`` or more. Bands of least hashes name candidates, the sets themselves decide.
+
+    Each text of a long cell is compared with a few others first; what stays in different groups
+    then is compared inside the cell, in blocks, and only edges that join groups come out. Texts
+    without words form one group."""
+    rows, edges = _linked(docs, id_col, text_col, shingle, jaccard, block_bytes)
+    return _classes(rows, edges).select(F.col("id").alias(id_col), "component_id")
 
 
 def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -405,11 +498,27 @@ def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(nodes.join(least, "root").select("node", "component_id"), "node").select("id", "node", "component_id")
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of similar texts the one with the least id.
-    Rows that share that id with equal or different texts stay together; rows with a null id all
-    stay, as they cannot be told apart."""
-    classes = similar_groups(docs, id_col, text_col, **options)
-    name = free_name(docs.columns, "_gone")
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row of each group of similar texts: the one with the least id (null ids last), then the
+    least hash of its text. Rows are judged by id and text together, so rows of one id with
+    different texts are judged each by itself, and of equal rows one stays. A document that is
+    like no other stays, whatever its id."""
+    rows, edges = _linked(docs, id_col, text_col, shingle, jaccard, block_bytes)
+    copies = rows.groupBy("node", "id").agg(F.count("*").alias("n"))
+    copies = staged(copies.join(components(edges), "node", "left").select("node", "id", "n", F.coalesce("root", "node").alias("root")), "copies")
+    best = copies.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node")).alias("best"))
+    first = (F.col("node") == F.col("best.node")) & F.col("id").eqNullSafe(F.col("best.id"))
+    copies = staged(copies.join(best, "root").select("node", "id", "n", first.alias("first")), "judged")
+
+    node, own, n = free_name(docs.columns, "_node"), free_name(docs.columns, "_own"), free_name(docs.columns, "_n")
+    blank = F.coalesce(F.length(F.btrim(F.col(text_col), F.lit(BLANKS))), F.lit(0)) == 0
+    known = docs.withColumn(node, F.when(blank, F.lit(0)).otherwise(F.xxhash64(text_col)).cast("bigint"))
+    listed = copies.select(F.col("node").alias(f"{node}2"), F.col("id").alias(own), F.col("n").alias(n), "first")
+    same = (F.col(node) == F.col(f"{node}2")) & F.col(id_col).eqNullSafe(F.col(own))
+    out = known.join(listed.where(~F.col("first") | (F.col(n) > 1)), same, "left_anti").select(*docs.columns)
+    repeated = listed.where(F.col("first") & (F.col(n) > 1)).select(f"{node}2", own)
+    if not repeated.isEmpty():
+        place = Window.partitionBy(node, id_col).orderBy(F.lit(0))
+        rest = known.join(repeated, same, "left_semi").withColumn(n, F.row_number().over(place)).where(F.col(n) == 1)
+        out = out.unionByName(rest.select(*docs.columns))
+    return out

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from netlens.llm import embeddings, graph, simhash
 from tests.llm.conftest import MESSY, prose
@@ -104,7 +105,8 @@ def test_isolated_pairs_link_by_the_similarity_of_their_sets(spark):
     assert {i: got[i] for i in want} == want
 
 
-def test_long_cells_link_whom_sets_link(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 24, 40_000])
+def test_long_cells_link_whom_sets_link(spark, block_bytes):
     rows = []
     for g in range(3):  # the groups share cells, at a similarity of 0.72 to each other
         for k in range(40):
@@ -116,13 +118,22 @@ def test_long_cells_link_whom_sets_link(spark):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
     links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)]
     want = least_reachable(len(rows), links)
-    got = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5).collect())
+    got = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5, block_bytes=block_bytes).collect())
     assert [got[i] for i, _ in rows] == [rows[r][0] for r in want]
 
 
 def test_one_document_of_each_group_stays(messy):
     left = sorted((r["doc_id"] or 0) for r in simhash.kept(messy).collect())
-    assert left == [0, 0, 1, 2, 5, 7, 7, 9, 9, 10]
+    assert left == [0, 1, 2, 5, 7, 9, 9, 10]
+
+
+def test_rows_are_kept_by_id_and_text(spark):
+    a, k, x = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(5, a), (1, a), (5, k), (7, x), (7, x), (7, x), (None, x + " more"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"first": F.lit(1), "_node": F.lit(2)})
+    got = simhash.kept(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, (tuple(r)[:2] for r in got.collect()))) == sorted(map(repr, [(1, a), (5, k), (7, x), (None, None)]))
 
 
 def cluster_rows(seed=5, dims=32):

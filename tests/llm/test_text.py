@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from netlens.llm import credentials, decontaminate, lines, quality, shared
 from tests.llm.conftest import MESSY, prose
@@ -148,6 +149,9 @@ def test_clean_messy_tables(spark, messy, no_docs):
     left = sorted((r["doc_id"] or 0) for r in decontaminate.clean(messy, bench).collect())
     assert left == [0, 0, 2, 3, 4, 5, 7, 7, 9, 9]
     assert decontaminate.clean(messy, bench).columns == messy.columns
+    rows = [(1, "one"), (1, prose(3, 20)), (None, "one"), (None, None)]
+    mixed = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_text", F.lit(1))
+    assert sorted(map(repr, (tuple(r)[:2] for r in decontaminate.clean(mixed, bench).collect()))) == sorted(map(repr, [(1, prose(3, 20)), (None, None)]))
     assert decontaminate.judged(no_docs, bench).count() == 0
     assert decontaminate.clean(messy, bench.limit(0)).count() == len(MESSY)
 
