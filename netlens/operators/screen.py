@@ -79,6 +79,15 @@ EXPLOITS = (
     (b"CreateProcess", "Process creation"),
     (b"VirtualProtect", "Memory protection manipulation"),
 )
+# What counts as repetition at the start of a file. A run of RUN equal bytes that begins
+# among the first HEAD; equal bytes in whole chunks, and four bytes eight times over, counted over a
+# stretch at given steps; consecutive nulls.
+HEAD, RUN = 1000, 100
+CHUNK, CHUNK_STRETCH, CHUNKS = 16, 500, 15
+CYCLE, CYCLES_EACH, CYCLE_STRETCH, CYCLES = 4, 8, 200, 2
+NULL_RUN = 100
+# Limits of plausible header fields.
+VERSIONS_MAJOR, VERSIONS_MINOR, PLAUSIBLE_SNAPLEN, PLAUSIBLE_LINK = (1, 10), (0, 10), 1_000_000, 1000
 # Words that rate an issue.
 HIGH_WORDS = ("malware", "executable", "exploit", "suspicious")
 MEDIUM_WORDS = ("entropy", "pattern", "embedded")
@@ -100,6 +109,11 @@ def _header_number(head: Column, start: int, size: int, little: Column) -> Colum
     return F.conv(F.when(little, swapped).otherwise(digits), 16, 10).try_cast("long")
 
 
+def _size(files: DataFrame) -> Column:
+    """Bytes of a file: as listed, if the table says so, so that contents need not be read."""
+    return (F.col("length") if "length" in files.columns else F.octet_length("content")).cast("long")
+
+
 def file_types(files: DataFrame) -> DataFrame:
     """Type by magic or look, header fields, and whether name, size and header are valid."""
     head = F.hex(F.substring("content", 1, 24))
@@ -115,7 +129,7 @@ def file_types(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     facts = files.select(
         "path",
-        F.octet_length("content").cast("long").alias("size"),
+        _size(files).alias("size"),
         F.try_element_at(types, magic).alias("capture_type"),
         looks.alias("looks_like"),
         _header_number(head, 4, 2, little).alias("version_major"),
@@ -175,8 +189,7 @@ def byte_profile(content: pd.Series) -> pd.DataFrame:
 
 def profiles(files: DataFrame) -> DataFrame:
     """Byte statistics of whole files and the limits they break."""
-    size = F.octet_length("content").cast("long")
-    p = files.select("path", size.alias("size"), byte_profile("content").alias("p"))
+    p = files.select("path", _size(files).alias("size"), byte_profile("content").alias("p"))
     counts = F.col("p.counts")
 
     def total(first: int, last: int, step: int = 1) -> Column:
@@ -257,6 +270,59 @@ def signatures(files: DataFrame) -> DataFrame:
     return hits.withColumn("issues", issues)
 
 
+def repetitions(files: DataFrame) -> DataFrame:
+    """Repetition at the start of each file: a long run of one byte, chunks of one byte, four bytes
+    over and over, and padding with nulls. All but the first need a file of ``HEAD`` bytes."""
+    content = F.col("content").cast("binary")
+    # one character for each byte, so that places and back references are those of bytes
+    head = F.decode(F.substring(content, 1, HEAD + RUN - 1), "ISO-8859-1")
+    seen = files.select("path", F.octet_length(content).alias("size"), head.alias("head"))
+    start = F.substring("head", 1, HEAD)
+
+    def repeated(step: int, stretch: int, part: int) -> Column:
+        """Pieces of ``step`` characters that repeat their first ``part`` all through."""
+        places = F.sequence(F.lit(1), F.lit(min(HEAD - step, stretch)), F.lit(step))
+        pieces = F.transform(places, lambda at: F.substr(F.col("head"), at, F.lit(step)))
+        return F.size(F.filter(pieces, lambda p: p == F.repeat(F.substr(p, F.lit(1), F.lit(part)), F.lit(step // part))))
+
+    long = F.col("size") >= HEAD
+    run = F.substr("head", F.lit(1), F.least(F.lit(HEAD + RUN - 1), F.greatest(F.col("size") - 1, F.lit(0)))).rlike(r"(?s)(.)\1{%d}" % (RUN - 1))
+    measured = seen.select(
+        "path",
+        run.alias("long_run"),
+        F.when(long, repeated(CHUNK, CHUNK_STRETCH, 1)).otherwise(0).alias("equal_chunks"),
+        F.when(long, start.rlike(r"\x00{%d}" % (NULL_RUN + 1))).otherwise(False).alias("null_padding"),
+        F.when(long, repeated(CYCLE * CYCLES_EACH, CYCLE_STRETCH, CYCLE)).otherwise(0).alias("cycles"),
+    )
+    issues = F.array_compact(
+        F.array(
+            F.when(F.col("long_run"), F.lit("Long repetitive pattern detected (potential padding)")),
+            F.when(F.col("equal_chunks") > CHUNKS, F.lit("Excessive repetitive pattern detected")),
+            F.when(F.col("null_padding"), F.lit("Excessive null byte padding detected")),
+            F.when(F.col("cycles") > CYCLES, F.lit("Multiple suspicious alternating patterns detected")),
+        )
+    )
+    return measured.withColumn("issues", issues)
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """Header fields of captures of plain records that are out of their plausible ranges, read with
+    the low byte first whatever the file says; ``consistent`` if there are none. Other files of 24
+    bytes or more are not judged."""
+    head = F.hex(F.substring(F.col("content").cast("binary"), 1, MIN_SIZE))
+    plain = F.substring(head, 1, 8).isin(*[m for m, kind in CAPTURE_TYPES.items() if kind == "pcap"])
+    number = lambda start, size: _header_number(head, start, size, F.lit(True))
+    versions = number(4, 2).between(*VERSIONS_MAJOR) & number(6, 2).between(*VERSIONS_MINOR)
+    found = F.array(
+        F.when(plain & ~versions, F.lit("Invalid version numbers")),
+        F.when(plain & (number(16, 4) > PLAUSIBLE_SNAPLEN), F.lit("Excessive snaplen value")),
+        F.when(plain & (number(20, 4) > PLAUSIBLE_LINK), F.lit("Unusual network type")),
+    )
+    small = F.length(head) < 2 * MIN_SIZE
+    issues = F.when(small, F.array(F.lit("File too small"))).otherwise(F.array_compact(found))
+    return files.select("path", issues.alias("issues")).withColumn("consistent", F.size("issues") == 0)
+
+
 def severity(issues: Column) -> Column:
     """critical, high, medium or low, by the words in the issues."""
 
@@ -285,7 +351,7 @@ def verdicts(files: DataFrame) -> DataFrame:
 def hashes(files: DataFrame) -> DataFrame:
     return files.select(
         "path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"),
-        F.octet_length("content").cast("long").alias("size"),
+        _size(files).alias("size"),
     )
 
 

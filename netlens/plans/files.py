@@ -178,3 +178,49 @@ SELECT t.*, (SELECT string_agg(protocol, ',' ORDER BY n DESC, protocol) FROM p W
 def c9(spark, sf):
     s = report.summaries(report.documents(derived.packets(spark, sf)))
     return rounded(s.drop("issues_found").withColumn("top_protocols", F.concat_ws(",", "top_protocols")))
+
+
+@_q(
+    "v2_repetition_checks",
+    """, f AS (SELECT path, CASE strlen(content) % 5 WHEN 0 THEN repeat('A', 150) WHEN 1 THEN repeat('ABCD', 60) WHEN 2 THEN repeat(chr(0), 120)
+   WHEN 4 THEN repeat('A', 400) ELSE '' END || content AS c FROM payloads),
+h AS (SELECT path, strlen(c) AS size, hex(c)[1:2198] AS x FROM f),
+m AS (SELECT path,
+   len(list_filter(range(0, least(size - 100, 1000)), lambda i: substr(x, 2 * i + 1, 200) = repeat(substr(x, 2 * i + 1, 2), 100))) > 0 AS long_run,
+   CASE WHEN size >= 1000 THEN len(list_filter(range(0, 500, 16), lambda i: substr(x, 2 * i + 1, 32) = repeat(substr(x, 2 * i + 1, 2), 16))) ELSE 0 END AS equal_chunks,
+   size >= 1000 AND len(list_filter(range(0, 900), lambda i: substr(x, 2 * i + 1, 202) = repeat('00', 101))) > 0 AS null_padding,
+   CASE WHEN size >= 1000 THEN len(list_filter(range(0, 200, 32), lambda i: substr(x, 2 * i + 1, 64) = repeat(substr(x, 2 * i + 1, 8), 8))) ELSE 0 END AS cycles FROM h)
+SELECT path, long_run, equal_chunks::INT AS equal_chunks, null_padding, cycles::INT AS cycles, array_to_string(list_filter([
+   CASE WHEN long_run THEN 'Long repetitive pattern detected (potential padding)' END,
+   CASE WHEN equal_chunks > 15 THEN 'Excessive repetitive pattern detected' END,
+   CASE WHEN null_padding THEN 'Excessive null byte padding detected' END,
+   CASE WHEN cycles > 2 THEN 'Multiple suspicious alternating patterns detected' END], lambda s: s IS NOT NULL), '; ') AS issues FROM m""",
+)
+def v2_repetitions(spark, sf):
+    """The payloads behind padding of a kind that their length decides."""
+    files = derived.payloads(spark, sf)
+    kind = F.octet_length("content") % 5
+    padding = F.when(kind == 0, "A" * 150).when(kind == 1, "ABCD" * 60).when(kind == 2, "\0" * 120).when(kind == 4, "A" * 400).otherwise("")
+    padded = files.withColumn("content", F.concat(padding.cast("binary"), "content"))
+    return screen.repetitions(padded).withColumn("issues", F.concat_ws("; ", "issues"))
+
+
+@_q(
+    "v2_header_structure",
+    """, n AS (SELECT path, strlen(content) AS size FROM payloads)
+SELECT path, array_to_string(list_filter([CASE WHEN size % 13 NOT BETWEEN 1 AND 10 OR size % 12 > 10 THEN 'Invalid version numbers' END,
+   CASE WHEN size * 700 % 2000000 > 1000000 THEN 'Excessive snaplen value' END, CASE WHEN size % 2000 > 1000 THEN 'Unusual network type' END],
+   lambda s: s IS NOT NULL), '; ') AS issues, size % 13 BETWEEN 1 AND 10 AND size % 12 <= 10 AND size * 700 % 2000000 <= 1000000
+   AND size % 2000 <= 1000 AS consistent FROM n""",
+)
+def v2_structure(spark, sf):
+    """Headers whose fields the lengths of the payloads decide."""
+    size = F.octet_length("content")
+
+    def little(n, width):
+        digits = F.lpad(F.hex(n.cast("bigint")), 2 * width, "0")
+        return F.concat(*[F.substring(digits, 2 * width - 1 - 2 * i, 2) for i in range(width)])
+
+    fields = F.concat(F.lit("D4C3B2A1"), little(size % 13, 2), little(size % 12, 2), F.lit("00" * 8), little(size * 700 % 2_000_000, 4), little(size % 2000, 4))
+    files = derived.payloads(spark, sf).withColumn("content", F.unhex(fields))
+    return screen.structure(files).withColumn("issues", F.concat_ws("; ", "issues"))
