@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from netlens.functions import measures, net, text
-from netlens.operators import detect, findings
+from netlens.operators import anomaly, detect, findings
 from netlens.plans.registry import query
 from netlens.plans.shape import rounded
 from netlens.sources import derived
@@ -335,6 +335,65 @@ def a31_every(spark, sf):
     return findings.risk_level(detect.security_triage(p), _captures(p))
 
 
+# Findings of outlier models, as a rule that SQL can tell: every packet over 1,400 bytes.
+_LARGE = "SELECT capture_id, 'M6' AS detector, 'high' AS severity, src_ip FROM packets WHERE packet_size > 1400"
+
+
+def _with_anomalies(packets):
+    large = packets.where("packet_size > 1400").select(
+        "capture_id", F.lit("size_anomaly").alias("anomaly_type"), F.lit("high").alias("severity"), "src_ip", "dst_ip",
+        F.array(F.lit("isolation_forest")).alias("contributing"), F.col("packet_size").cast("double").alias("anomaly_score"), F.lit(1.0).alias("confidence"),
+    )
+    return detect.all_findings(packets, anomaly.as_findings(large))
+
+
+_EVERY = f"""SELECT c.capture_id, count(f.detector) AS findings, count(*) FILTER (severity = 'critical') AS critical,
+  count(*) FILTER (severity = 'high') AS high, count(*) FILTER (detector = 'M6') AS anomalies,
+  count(*) FILTER (detector <> 'D2' AND src_ip IS NOT NULL) AS suspicious_ip_count, count(*) FILTER (detector = 'D2') AS port_scan_count,
+  count(*) FILTER (detector <> 'D2' AND src_ip IS NULL) AS anomaly_count,
+  count(*) FILTER (detector <> 'D2' AND severity = 'high') AS high_severity_count,
+  count(*) FILTER (detector <> 'D2' AND severity = 'medium') AS medium_severity_count,
+  count(*) FILTER (detector <> 'D2' AND severity = 'low') AS low_severity_count
+FROM {_QUIET} c LEFT JOIN (SELECT capture_id, detector, severity, src_ip FROM ({_ALL}) UNION ALL {_LARGE}) f ON c.capture_id = f.capture_id GROUP BY 1"""
+
+
+@query(
+    "a32_recommendations_of_every_capture",
+    f""", t AS ({_EVERY})
+SELECT capture_id, 'Address Critical Security Issues Immediately' AS title, 'CRITICAL' AS priority FROM t WHERE critical > 0
+UNION ALL SELECT capture_id, 'Investigate High-Priority Security Findings', 'HIGH' FROM t WHERE high > 0
+UNION ALL SELECT capture_id, 'Review Machine Learning Anomaly Findings', 'MEDIUM' FROM t WHERE anomalies > 0
+UNION ALL SELECT capture_id, 'Implement Continuous Network Monitoring', 'MEDIUM' FROM t
+UNION ALL SELECT capture_id, 'Regular Security Assessments', 'LOW' FROM t
+UNION ALL SELECT capture_id, 'Update Security Policies', 'LOW' FROM t""",
+)
+def a32_every(spark, sf):
+    p = derived.packets(spark, sf)
+    return findings.recommendations(_with_anomalies(p), _captures(p))
+
+
+@query(
+    "a33_security_summary_of_every_capture",
+    f"""SELECT capture_id, suspicious_ip_count, port_scan_count, anomaly_count, high_severity_count, medium_severity_count, low_severity_count,
+  findings AS total_security_issues FROM ({_EVERY})""",
+)
+def a33_every(spark, sf):
+    p = derived.packets(spark, sf)
+    return findings.security_summary(_with_anomalies(p), _captures(p))
+
+
+@query(
+    "d19_overall_severity_of_every_capture",
+    f"""SELECT c.capture_id, count(f.detector) AS findings, round(least(1.0, count(f.detector) * 0.1::DOUBLE), 6) AS overall_severity,
+  CASE WHEN count(f.detector) = 0 THEN 'LOW' WHEN count(f.detector) < 5 THEN 'MEDIUM' ELSE 'HIGH' END AS deep_risk
+FROM {_QUIET} c LEFT JOIN (SELECT capture_id, detector FROM ({_ALL}) WHERE detector IN ('D1', 'D2', 'D3', 'D5', 'D6', 'D7')) f
+  ON c.capture_id = f.capture_id GROUP BY 1""",
+)
+def d19_every(spark, sf):
+    p = derived.packets(spark, sf)
+    return rounded(findings.overall(detect.triage_issues(p), _captures(p)))
+
+
 @query(
     "u2_all_findings",
     f"""SELECT *, CASE type WHEN 'high_latency' THEN 'Check network connectivity and server response times'
