@@ -4,6 +4,8 @@ A field may sit flat in ``layers`` or inside its layer, and be a scalar or a one
 list. Leaves are declared STRING, so the JSON reader hands lists over as their text.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,8 @@ def export_schema() -> T.StructType:
 
 
 def read_export(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Packet rows of one or many exports. The capture is the file name.
+    """Packet rows of one or many exports. The capture is the file name without its ending, behind
+    the folders below the first that ``path`` leaves open, so equal names in two folders stay apart.
 
     One JSON object per line is the splittable form; ``multiline`` reads files that hold
     one JSON array each.
@@ -58,7 +61,11 @@ def read_export(spark: SparkSession, path: str, multiline: bool = False) -> Data
         .option("multiLine", multiline)
         .json(path)
     )
-    return parse_export(raw, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
+    place = spark._jvm.org.apache.hadoop.fs.Path(re.split(r"/[^/]*[*?{\[]", path, maxsplit=1)[0])
+    root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/")
+    file = F.col("_metadata.file_path")
+    inside = F.when(F.contains(file, F.lit(f"{root}/")), F.substring_index(file, f"{root}/", -1)).otherwise(F.col("_metadata.file_name"))
+    return parse_export(raw, F.regexp_extract(inside, r"^(.*?)(\.[^./]*)?$", 1))
 
 
 def _field(name: str) -> Column:

@@ -42,6 +42,7 @@ def stream(spark, df, folder, parts, shuffled=0):
             out.write("\n".join(part.toJSON().collect()))
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     session = pairing.stateful_session(spark)
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     return session.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(folder)
 
 

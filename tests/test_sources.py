@@ -40,6 +40,12 @@ def test_dissector_forms(spark, tmp_path):
     (tmp_path / "arr").mkdir()
     (tmp_path / "arr" / "x.json").write_text(json.dumps([_nested("list"), flat]))
     assert dissector.read_export(spark, str(tmp_path / "arr"), multiline=True).count() == 2
+    for day in ("day1", "day2"):
+        (tmp_path / "days" / day).mkdir(parents=True)
+        (tmp_path / "days" / day / "x.json").write_text(json.dumps(flat))
+    found = lambda path: sorted(r["capture_id"] for r in dissector.read_export(spark, str(path)).collect())
+    assert found(tmp_path / "days" / "*" / "x.json") == found(tmp_path / "days" / "day*") == ["day1/x", "day2/x"]
+    assert found(tmp_path / "days" / "day1") == found(tmp_path / "days" / "day1" / "x.json") == ["x"]
 
 
 def _capture(order="<", magic=0xA1B2C3D4, version=(2, 4), snaplen=65535):
