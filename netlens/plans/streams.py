@@ -10,10 +10,13 @@ from netlens.sources import derived
 from netlens.streaming import live, pairing, replay
 
 #: Time of the row that ends a feed, and limits within which nothing of it times out before.
-_END = F.lit("2100-01-01 00:00:00").cast("timestamp")
 _LONG_US = 20 * 365 * 86_400_000_000
 
 
+def _end():
+    return F.lit("2100-01-01 00:00:00").cast("timestamp")
+
+
 def _one_feed(sql: str) -> str:
     """The SQL of the live aggregates with all captures as one feed."""
     return sql.replace("capture_id AS feed", "'live' AS feed").replace("capture_id\n AS feed", "'live' AS feed")
@@ -21,14 +24,14 @@ def _one_feed(sql: str) -> str:
 
 @query("j1_http_transactions_stream", protocols._HTTP + "SELECT * FROM tx")
 def j1_stream(spark, sf):
-    end = {"ts": _END, "http_method": F.lit("END")}
+    end = {"ts": _end(), "http_method": F.lit("END")}
     paired = replay.replayed(derived.packets(spark, sf), end, lambda s: pairing.http_transactions(s, timeout_us=_LONG_US))
     return paired.where("capture_id IS NOT NULL")
 
 
 @query("j2_dns_transactions_stream", protocols._DNS + "SELECT * FROM tx")
 def j2_stream(spark, sf):
-    end = {"ts": _END, "dns_query": F.lit("end")}
+    end = {"ts": _end(), "dns_query": F.lit("end")}
     paired = replay.replayed(derived.packets(spark, sf), end, lambda s: pairing.dns_transactions(s, timeout_us=_LONG_US))
     return paired.where("capture_id IS NOT NULL")
 
@@ -42,7 +45,7 @@ FROM (SELECT *, lead(us) OVER (PARTITION BY capture_id, least(src_ip, dst_ip), g
 WHERE dns_qr = 0 AND (next IS NULL OR next - us > 20000)""",
 )
 def j2_timeouts(spark, sf):
-    end = {"ts": _END, "dns_query": F.lit("end")}
+    end = {"ts": _end(), "dns_query": F.lit("end")}
     paired = replay.replayed(derived.packets(spark, sf), end, lambda s: pairing.dns_transactions(s, timeout_us=20_000))
     return paired.where("capture_id IS NOT NULL AND outcome = 'TIMEOUT'").select("capture_id", "client_ip", "query_frame", "domain", "outcome")
 
@@ -54,7 +57,7 @@ def j2_timeouts(spark, sf):
 )
 def r4_stream(spark, sf):
     feed = live.from_packets(derived.packets(spark, sf))
-    table = replay.replayed(feed, {"ts": _END}, lambda s: pairing.connections(s.withWatermark("ts", live.LATENESS), _LONG_US), "update")
+    table = replay.replayed(feed, {"ts": _end()}, lambda s: pairing.connections(s.withWatermark("ts", live.LATENESS), _LONG_US), "update")
     return table.where("closed AND feed IS NOT NULL").drop("closed")
 
 
@@ -62,7 +65,7 @@ def _delivered(spark, sf) -> str:
     """The packets as live packets in JSON files."""
     place = replay.folder(spark)
     rows = derived.packets(spark, sf).select("src_ip", "dst_ip", "protocol", F.col("packet_size").alias("size"), "dst_port", (F.unix_micros("ts") / 1e6).alias("timestamp"))
-    replay.deliver(rows, {"timestamp": F.unix_micros(_END) / 1e6}, f"{place}/in", "json")
+    replay.deliver(rows, {"timestamp": F.unix_micros(_end()) / 1e6}, f"{place}/in", "json")
     return place
 
 
