@@ -161,17 +161,61 @@ def test_clean_messy_tables(spark, messy, no_docs):
 
 def test_passages_go_from_all_but_the_first_document(spark):
     long_line = prose(50, 60).replace("\n", " ")
-    passage = prose(51, 120, breaks=6)
+    passage = prose(51, 119, breaks=6)
     short = "All rights reserved."
     rows = [(i, f"{prose(100 + i, 40)}\n{long_line}\n{prose(200 + i, 40)}\n{passage}\n{prose(300 + i, 30)}\n{short}") for i in range(6)]
     got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[0]["text"] == rows[0][1] and got[0]["_removed"] == 0
     for i in range(1, 6):
         text = got[i]["text"]
-        assert long_line not in text and short in text
-        assert all(own in text for own in prose(100 + i, 40).split("\n")[:3])
-        gone = [x for x in passage.split("\n") if x not in text]
-        assert len(gone) > len(passage.split("\n")) / 2
+        assert text == f"{prose(100 + i, 40)}\n{prose(200 + i, 40)}\n{prose(300 + i, 30)}\n{short}"
+
+
+@pytest.mark.parametrize(("n_lines", "n_words"), [(1, 50), (2, 30), (3, 20), (5, 12), (10, 12), (40, 12)])
+def test_passages_of_few_lines_go_whole(spark, n_lines, n_words):
+    passage = [prose(1000 + k, n_words).replace("\n", " ") for k in range(n_lines)]
+    rows = [(i, "\n".join([prose(10 + i, 30), *passage, prose(20 + i, 30)])) for i in range(4)]
+    rows.append((9, "\n".join([prose(40, 30), " ".join(passage[0].split()[:40]), prose(41, 30)])))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == rows[0][1] and got[9] == rows[4][1]
+    assert [got[i] for i in (1, 2, 3)] == [f"{prose(10 + i, 30)}\n{prose(20 + i, 30)}" for i in (1, 2, 3)]
+
+
+def test_cover_holds_every_line_with_few_spans():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        spans = sorted({(int(a), int(a + b)) for a, b in rng.integers(0, 12, (rng.integers(0, 9), 2))})
+        chosen = lines.cover(*(np.array([s[k] for s in spans], int) for k in (0, 1)))
+        every = {x for a, b in spans for x in range(a, b + 1)}
+        assert {x for k in chosen for x in range(spans[k][0], spans[k][1] + 1)} == every
+        assert all(sum(spans[k][0] <= x <= spans[k][1] for k in chosen) <= 2 for x in every)
+
+
+def test_line_dedup_equals_looking_at_every_run(spark):
+    rng = np.random.default_rng(8)
+    pool = ["", " ", *(" ".join(rng.choice(["a", "b", "c"], rng.integers(1, 6))) for _ in range(8))]
+    docs = [(i, "\n".join(rng.choice(pool, rng.integers(1, 14)))) for i in range(60)]
+    seen, want = set(), {}
+    for i, text in docs:
+        at = [m.span() for m in re.finditer(r"[^\n]+", text)]
+        gone, fresh = set(), []
+        for a in range(len(at)):
+            for b in range(a, len(at)):
+                body = text[at[a][0] : at[b][1]]
+                whole = a == 0 and b == len(at) - 1 and b > 0
+                if len(body.split()) < 8 and not (whole and body.strip()):
+                    continue
+                key = (body, whole) if len(body.split()) < 8 else body
+                if key in seen or key in fresh:
+                    gone |= set(range(a, b + 1))
+                else:
+                    fresh.append(key)
+        seen |= set(fresh)
+        want[i] = [text[s:e] for k, (s, e) in enumerate(at) if k not in gone]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: re.findall(r"[^\n]+", r["text"]) for r in lines.dedup(table, spread=1 << 62, long_run=8).collect()}
+    assert sum(map(len, want.values())) < sum(len(re.findall(r"[^\n]+", t)) for _, t in docs) * 0.9
+    assert got == want
 
 
 def test_borders_do_not_shift():
