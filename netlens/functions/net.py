@@ -97,6 +97,32 @@ def _ipv6_hex(ip: Column) -> Column:
     return F.when(well_formed & (F.length(whole) == 32), whole)
 
 
+def ip_key(ip: Column | str) -> Column:
+    """IPv4 or IPv6 text as ``(family, hi, lo)``: 4 or 6 and the bits from the top of two BIGINTs.
+    NULL when the text is neither."""
+    ip = _col(ip)
+    number, digits = ip_num(ip), _ipv6_hex(ip)
+    half = [F.conv(F.substring(digits, at, 16), 16, -10).cast("long") for at in (1, 17)]
+    four = F.struct(F.lit(4).alias("family"), F.shiftleft(number, 32).alias("hi"), F.lit(0).cast("long").alias("lo"))
+    six = F.struct(F.lit(6).alias("family"), half[0].alias("hi"), half[1].alias("lo"))
+    return F.when(number.isNotNull(), four).when(digits.isNotNull(), six)
+
+
+def masked(key: Column, length: Column) -> Column:
+    """The key of an address with all bits behind the first ``length`` cleared, and the length."""
+
+    def top(bits: Column) -> Column:
+        kept = F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(64) - bits)
+        return F.when(bits >= 64, F.lit(-1).cast("long")).when(bits <= 0, F.lit(0).cast("long")).otherwise(kept)
+
+    return F.struct(
+        key["family"].alias("family"),
+        length.alias("length"),
+        key["hi"].bitwiseAND(top(length)).alias("hi"),
+        key["lo"].bitwiseAND(top(length - 64)).alias("lo"),
+    )
+
+
 def _ipv6_in(ip: Column, net: ipaddress.IPv6Network) -> Column:
     first = f"{int(net.network_address):032x}"
     last = f"{int(net.broadcast_address):032x}"

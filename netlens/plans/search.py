@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from netlens.operators import detect, filters, search
+from netlens.operators import detect, filters, prefixes, search
 from netlens.operators.search import Criterion, RuleBook, SearchQuery
 from netlens.plans.detection import _D8, _TRIAGE
 from netlens.plans.flows import _A8, _CONV
@@ -48,6 +48,53 @@ def f3_bad(spark, sf):
     return _packets_where(spark, sf, filters.by_ip_range("10.0.2.0/99"))
 
 
+# a table of blocks that grows with the data: networks of suppliers inside those of nations
+_BLOCKS = """blocks AS (
+  SELECT '10.0.' || (s_suppkey % 7) || '.' || (s_suppkey * 4 % 256) || '/' || (22 + s_suppkey % 11) AS cidr FROM supplier
+  UNION SELECT '10.' || n_nationkey || '.0.0/' || (8 + n_nationkey % 9) FROM nation WHERE n_nationkey < 3)"""
+
+_LONGEST = f"""
+, {_BLOCKS},
+octets AS (SELECT cidr, string_split(string_split(cidr, '/')[1], '.') AS o, (string_split(cidr, '/')[2])::INT AS length FROM blocks),
+spans AS (
+  SELECT cidr, length, n - n % (1::BIGINT << (32 - length)) AS low, n - n % (1::BIGINT << (32 - length)) + (1::BIGINT << (32 - length)) - 1 AS high
+  FROM (SELECT cidr, length, ((o[1]::BIGINT * 256 + o[2]::BIGINT) * 256 + o[3]::BIGINT) * 256 + o[4]::BIGINT AS n FROM octets) q),
+hosts AS (
+  SELECT src_ip, packets, bytes, ((o[1]::BIGINT * 256 + o[2]::BIGINT) * 256 + o[3]::BIGINT) * 256 + o[4]::BIGINT AS n
+  FROM (SELECT src_ip, string_split(src_ip, '.') AS o, count(*) AS packets, sum(packet_size)::BIGINT AS bytes FROM packets GROUP BY src_ip) q),
+ranked AS (
+  SELECT src_ip, packets, bytes, cidr, length, row_number() OVER (PARTITION BY src_ip ORDER BY length DESC NULLS LAST, cidr) AS k
+  FROM hosts LEFT JOIN spans ON n BETWEEN low AND high)
+"""
+
+
+def _blocks(spark, sf):
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr(
+        "concat('10.0.', s_suppkey % 7, '.', s_suppkey * 4 % 256, '/', 22 + s_suppkey % 11) AS cidr"
+    )
+    nations = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey < 3")
+    return suppliers.union(nations.selectExpr("concat('10.', n_nationkey, '.0.0/', 8 + n_nationkey % 9)"))
+
+
+@query("f3_longest_prefix", _LONGEST + "SELECT src_ip, cidr, length AS prefix_length, packets, bytes FROM ranked WHERE k = 1")
+def f3_longest(spark, sf):
+    hosts = derived.packets(spark, sf).groupBy("src_ip").agg(F.count("*").alias("packets"), F.sum("packet_size").alias("bytes"))
+    found = prefixes.matches(hosts, _blocks(spark, sf), "src_ip").withColumnRenamed("ip", "src_ip")
+    return hosts.join(found, "src_ip", "left").select("src_ip", "cidr", "prefix_length", "packets", "bytes")
+
+
+@query(
+    "f4_packets_in_many_ranges",
+    _LONGEST
+    + """, held AS (SELECT src_ip AS ip FROM ranked WHERE k = 1 AND cidr IS NOT NULL)
+SELECT capture_id, frame_number FROM packets WHERE src_ip IN (SELECT ip FROM held) OR dst_ip IN (SELECT ip FROM held)
+  OR dst_ip IN (SELECT DISTINCT d.dst_ip FROM (SELECT DISTINCT dst_ip, string_split(dst_ip, '.') AS p FROM packets) d JOIN spans
+    ON ((p[1]::BIGINT * 256 + p[2]::BIGINT) * 256 + p[3]::BIGINT) * 256 + p[4]::BIGINT BETWEEN low AND high)""",
+)
+def f4_many(spark, sf):
+    return prefixes.inside(derived.packets(spark, sf), _blocks(spark, sf)).select("capture_id", "frame_number")
+
+
 @query(
     "f4_packet_filter",
     _PK
