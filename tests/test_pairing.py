@@ -107,3 +107,12 @@ def test_connections_leave_after_their_ttl(spark, packets, tmp_path):
     assert closed == [("10.0.0.0", 1, 7), ("10.0.0.0", 10, size(0)), ("10.0.0.1", 10, size(1)), ("10.0.0.2", 10, size(2))]
     assert sum(1 for r in got if not r["closed"] and r["feed"]) == 31  # one row for each change
     assert max(state) >= 3 and state[-1] <= 1
+
+
+def test_state_is_kept_by_bucket_not_by_connection(spark, packets, tmp_path):
+    rows = [r for k in range(1500) for r in ({"at": k * 0.001, "src_port": 2000 + k, "dst_port": 80, "http_method": "GET", "http_uri": f"/{k}"}, {"at": k * 0.001 + 0.5, "src_ip": "10.0.0.2", "dst_ip": "10.0.0.1", "src_port": 80, "dst_port": 2000 + k, "http_status": 200})]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    got, state, _ = run(pairing.http_transactions(stream(spark, packets(*rows), str(folder), 1)), tmp_path)
+    assert sorted((r["client_port"], r["uri"], r["response_us"]) for r in got if r["capture_id"]) == [(2000 + k, f"/{k}", 500_000) for k in range(1500)]
+    assert max(state) < 1500  # a row of state for each connection made streams of many connections slow
