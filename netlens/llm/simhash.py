@@ -247,13 +247,15 @@ def sketch_bits(jaccard: float) -> int:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, node, keys, sketch) of every row; texts without words are node 0 and have no keys."""
+    """(id, node, keys, sketch, fp) of every row; texts without words are node 0 and have no keys.
+    ``fp`` is the fingerprint that ``fingerprints`` gives."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            nodes, keys, sketches = batch.column(1).to_pylist(), [], []
+            nodes, keys, sketches, fps = batch.column(1).to_pylist(), [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 hashes = shingle_hashes(text, shingle)
+                fps.append(majority(hashes))
                 if len(hashes):
                     least = minima(hashes)
                     keys.append(band_keys(least))
@@ -263,12 +265,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                     keys.append([])
                     sketches.append([])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names)
+            columns = [pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    names = ["id", "node", "keys", "sketch"]
+    names = ["id", "node", "keys", "sketch", "fp"]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     longs = T.ArrayType(T.LongType())
-    kinds = [rows.schema["id"].dataType, T.LongType(), longs, longs]
+    kinds = [rows.schema["id"].dataType, T.LongType(), longs, longs, T.LongType()]
     return rows.mapInArrow(made, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
@@ -291,6 +294,18 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _grid_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates among the nodes (node, fp) by their fingerprints. Nodes of one fingerprint
+    form a chain, and the first nodes of fingerprints that ``links`` finds on the grid of bit counts
+    form a pair."""
+    own = Window.partitionBy("fp").orderBy("node")
+    chains = nodes.select(F.lag("node").over(own).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL")
+    firsts = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    left, right = (firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in ("a", "b"))
+    met = links(firsts.select("fp")).join(left, "a").join(right, "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return chains.unionByName(met)
+
+
 def _candidates(nodes: DataFrame, bits: int) -> DataFrame:
     """(a, b, bits, long, key): pairs of nodes (node, keys, sketch) that share a cell and whose
     sketches differ in at most ``bits`` bits. Short cells give all pairs. Long ones give one
@@ -457,15 +472,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, jaccard: float, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The rows (id, node), a node for each text, and edges (a, b) that connect what links of that
-    similarity connect."""
+    similarity connect. Candidates come from the fingerprints on their grid, which hold every pair of
+    up to ``RADIUS`` bits, and from bands of least hashes for the pairs that are further apart."""
     rows = staged(_keyed(docs, id_col, text_col, shingle), "least-hashes")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
     nodes = staged(nodes, "nodes")
     bits, firsts = sketch_bits(jaccard), nodes.select("node", "first")
     found = staged(_candidates(nodes.select("node", "keys", "sketch"), bits), "candidates")
     pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.min("long").alias("long"))
     rank = F.row_number().over(Window.partitionBy("a", "long").orderBy("bits", "b"))
-    pairs = staged(pairs.withColumn("rank", rank).where(~F.col("long") | (F.col("rank") <= PARTNERS)).select("a", "b"), "pairs")
+    pairs = pairs.withColumn("rank", rank).where(~F.col("long") | (F.col("rank") <= PARTNERS)).select("a", "b")
+    worded = nodes.where(F.size("keys") > 0).select("node", "fp")
+    pairs = staged(pairs.unionByName(_grid_pairs(worded)).distinct(), "pairs")
     edges = staged(_verified(pairs, docs, firsts, id_col, text_col, shingle, jaccard), "links")
     crowd = found.where("b IS NULL").select("key", F.col("a").alias("node"))
     if not crowd.isEmpty():
@@ -481,7 +499,8 @@ def similar_groups(
 ) -> DataFrame:
     """(id, component_id) like ``near_duplicates``, for a lower similarity than one fingerprint
     and few bits can tell: two texts link when their sets of shingles have a Jaccard similarity of
-    ``jaccard`` or more. Bands of least hashes name candidates, the sets themselves decide.
+    ``jaccard`` or more. Fingerprints on the grid of ``links``, and bands of least hashes for what
+    few bits cannot tell, name candidates; the sets themselves decide.
 
     Each text of a long cell is compared with a few others first; what stays in different groups
     then is compared inside the cell, in blocks, and only edges that join groups come out. Texts

@@ -179,3 +179,18 @@ def test_odd_vectors_link_with_nothing(spark):
         1: (4, 1, True), 2: (4, 1, False), 10: (4, 1, False), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)},
     }
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_fingerprints_on_the_grid_name_candidates(spark, monkeypatch):
+    base = [prose(k, 400) for k in range(8)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, t + " changed") for k, t in enumerate(base)] + [(200, ""), (201, None), (202, " ")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keyed = simhash._keyed(table, "doc_id", "text", 5)
+    assert {r["id"]: r["fp"] % (1 << 64) for r in keyed.collect()} == {i: simhash.majority(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    # without any band the fingerprints alone find copies of few differing bits, and the sets decide
+    monkeypatch.setattr(simhash, "_candidates", lambda nodes, bits: spark.createDataFrame([], "a bigint, b bigint, bits int, long boolean, key bigint"))
+    got = dict(simhash.similar_groups(table, shingle=5).collect())
+    near = lambda k: (simhash.majority(simhash.shingle_hashes(base[k], 5)) ^ simhash.majority(simhash.shingle_hashes(base[k] + " changed", 5))).bit_count() <= 4
+    assert sum(map(near, range(8))) >= 6 and all(got[100 + k] == k for k in range(8) if near(k)) and got[201] == got[202] == 200
+    monkeypatch.undo()
+    assert all(dict(simhash.similar_groups(table, shingle=5).collect())[100 + k] == k for k in range(8))
