@@ -8,18 +8,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from netlens.functions import net
+from netlens.operators.ordered import scan, time_chunk
+from netlens.operators.stage import checkpointed
 from netlens.schema import LIVE_PACKETS
 from netlens.streaming.baseline import HISTORY, baseline_anomalies
 
 WIDTH, SLIDE, ACTIVE = 5, 1, 60
 LATENESS = "10 seconds"
 MAX_HISTORY = 1000
+_DAY_US = 86_400_000_000
 SHOWN_PROTOCOLS = ("TCP", "UDP", "ICMP")
 
 
@@ -137,39 +140,77 @@ def second_metrics(live: DataFrame) -> DataFrame:
     )
 
 
-def _ends(width: int, second: str = "second_us"):
-    """The ends of the windows a second belongs to."""
-    steps = F.sequence(F.lit(0), F.lit(width - 1))
-    return F.explode(F.transform(steps, lambda k: F.col(second) + k.cast("long") * 1_000_000))
+def _blocks(seconds: DataFrame, width: int, *columns: str) -> DataFrame:
+    """(feed, block, items): the second rows of every block of ``width`` seconds and of the block
+    before it, in order. They hold all windows of that width that end in the block, so a row goes
+    to two groups and not to ``width`` windows."""
+    block = F.floor(F.col("second_us") / (width * 1_000_000)).cast("long")
+    placed = seconds.select("feed", F.explode(F.array(block, block + 1)).alias("block"), F.struct("second_us", "sketch", *columns).alias("item"))
+    grouped = placed.groupBy("feed", "block").agg(F.collect_list("item").alias("items"))
+    return grouped.withColumn("items", F.array_sort("items", lambda x, y: (x["second_us"] - y["second_us"]).cast("int")))
+
+
+def _united(items) -> Column:
+    """The union of the sketches up to each of the items."""
+
+    def add(done, item):
+        union = F.coalesce(F.hll_union(F.get(done, F.size(done) - 1)["sketch"], item["sketch"]), item["sketch"])
+        return F.concat(done, F.array(F.struct(item["second_us"].alias("second_us"), union.alias("sketch"))))
+
+    return F.aggregate(items, F.array().cast("array<struct<second_us:bigint,sketch:binary>>"), add)
+
+
+def _windows(seconds: DataFrame, width: int, *columns: str) -> DataFrame:
+    """(feed, end_us, connections, items) of every window of ``width`` seconds that holds a second:
+    the estimate of its pairs, and the items of its block.
+
+    A window is the end of one block and the beginning of the next, so the unions that run
+    backwards over the former and forwards over the latter give all windows of a block."""
+    start = F.col("block") * (width * 1_000_000)
+    halves = _blocks(seconds, width, *columns).withColumns(
+        {
+            "former": _united(F.reverse(F.filter("items", lambda x: x["second_us"] < start))),
+            "latter": _united(F.filter("items", lambda x: x["second_us"] >= start)),
+        }
+    )
+    ends = halves.withColumn("end_us", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: start + k.cast("long") * 1_000_000)))
+    end = F.col("end_us")
+    former = F.filter("former", lambda x: x["second_us"] > end - width * 1_000_000)
+    latter = F.filter("latter", lambda x: x["second_us"] <= end)
+    parts = ends.withColumns({c: F.get(f, F.size(f) - 1)["sketch"] for c, f in (("former", former), ("latter", latter))})
+    union = F.coalesce(F.hll_union("former", "latter"), "former", "latter")
+    return parts.select("feed", "end_us", F.hll_sketch_estimate(union).alias("connections"), "items").where("connections IS NOT NULL")
 
 
 def active_connections(seconds: DataFrame, width: int = ACTIVE) -> DataFrame:
     """Pairs seen in the last ``width`` seconds at every second, from the sketches."""
-    return (
-        seconds.select("feed", _ends(width).alias("end_us"), "sketch")
-        .groupBy("feed", "end_us")
-        .agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("active_connections"))
-    )
+    return _windows(seconds, width).select("feed", "end_us", F.col("connections").alias("active_connections"))
 
 
 def live_metrics(seconds: DataFrame, width: int = WIDTH, active: int = ACTIVE) -> DataFrame:
     """Sliding-window metrics with the active pairs of the last minute, from second rows.
 
-    A second goes to the ends of the ``active`` windows it belongs to; the narrower window
-    takes the youngest ``width`` of them, so one grouping serves both.
+    The narrower window takes the youngest ``width`` seconds of the ``active`` ones, so one
+    grouping serves both.
     """
     counts = ["packets", "bytes", *[f"{p.lower()}_packets" for p in SHOWN_PROTOCOLS], "other_packets"]
-    young = F.col("age") < width
-    placed = seconds.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(active - 1))).alias("age")
-    ).withColumn("end_us", F.col("second_us") + F.col("age").cast("long") * 1_000_000)
-    names = F.flatten(F.collect_list(F.when(young, F.col("protocols"))))
+    end, reach = F.col("end_us"), min(width, active) * 1_000_000
+    young = F.filter("items", lambda x: (x["second_us"] <= end) & (x["second_us"] > end - reach))
+    windows = _windows(seconds, active, *counts, "protocols").withColumn("items", young)
+
+    def known(column: str):
+        return F.array_compact(F.transform("items", lambda x: x[column]))
+
+    def total(column: str):
+        return F.aggregate(known(column), F.lit(None).cast("long"), lambda done, x: F.coalesce(done, F.lit(0).cast("long")) + x)
+
     return (
-        placed.groupBy("feed", "end_us")
-        .agg(
-            *[F.sum(F.when(young, F.col(c))).alias(c) for c in counts],
-            F.array_sort(F.array_distinct(names)).alias("protocols"),
-            F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("connections"),
+        windows.select(
+            "feed",
+            "end_us",
+            *[total(c).alias(c) for c in counts],
+            F.array_sort(F.array_distinct(F.flatten(known("protocols")))).alias("protocols"),
+            "connections",
         )
         .where(F.col("packets").isNotNull())
         .withColumns(
@@ -183,15 +224,27 @@ def live_metrics(seconds: DataFrame, width: int = WIDTH, active: int = ACTIVE) -
 
 
 def active_connections_exact(live: DataFrame, width: int = ACTIVE) -> DataFrame:
-    """The same, counted exactly; pairs are reduced to one row per second first."""
+    """The same, counted exactly; pairs are reduced to one row per second first.
+
+    A pair's second makes it active until ``width`` seconds later, from itself or from where its
+    second before ends. So it adds one at one time and takes one off at another, and the sums of
+    these, added up along time, are the counts. Packets without a time have a count of their own."""
+    span = width * 1_000_000
     second = (F.floor(net.us("ts") / 1_000_000).cast("long") + 1) * 1_000_000
     pairs = live.select("feed", second.alias("second_us"), "src_ip", "dst_ip").distinct()
-    return (
-        pairs.select("feed", _ends(width).alias("end_us"), "src_ip", "dst_ip")
-        .distinct()
-        .groupBy("feed", "end_us")
-        .agg(F.count("*").alias("active_connections"))
-    )
+    before = F.lag("second_us").over(Window.partitionBy("feed", "src_ip", "dst_ip").orderBy("second_us"))
+    now = F.col("second_us")
+    closed = F.struct((now + span).alias("at_us"), F.lit(-1).cast("long").alias("change"))
+    steps = pairs.select("feed", now, before.alias("before_us"))
+    opened = F.struct(F.greatest(now, F.col("before_us") + span).alias("at_us"), F.lit(1).cast("long").alias("change"))
+    steps = steps.select("feed", F.inline(F.when(now.isNull(), F.array(opened)).otherwise(F.array(opened, closed))))
+    steps = checkpointed(steps.groupBy("feed", "at_us").agg(F.sum("change").alias("change")))
+    timed = steps.where("at_us IS NOT NULL")
+    counted = scan(timed, ["feed"], [F.col("at_us")], time_chunk(F.col("at_us"), _DAY_US), sums={"active": F.col("change")})
+    bounded = scan(counted, ["feed"], [-F.col("at_us")], time_chunk(-F.col("at_us"), _DAY_US), last={"next_us": F.col("at_us")}).where("active > 0")
+    ends = F.explode(F.sequence(F.col("at_us"), F.col("next_us") - 1_000_000, F.lit(1_000_000).cast("long")))
+    timeless = steps.where("at_us IS NULL").select("feed", F.col("at_us").alias("end_us"), F.col("change").alias("active_connections"))
+    return bounded.select("feed", ends.alias("end_us"), F.col("active").alias("active_connections")).unionByName(timeless)
 
 
 def connection_table(live: DataFrame) -> DataFrame:

@@ -147,3 +147,26 @@ def test_threshold_updates(bad):
     assert live.Thresholds().updated(high_pps=5).high_pps == 5
     with pytest.raises(ValueError):
         live.Thresholds().updated(**bad)
+
+
+def test_windows_over_blocks_equal_a_look_at_every_window(spark, packets):
+    times = [0.2, 0.4, 1.5, 58.9, 59.0, 60.1, 61.0, 119.5, 120.0, 300.0, 361.7, 900.0]
+    rows = [{"at": at, "src_ip": f"10.0.0.{i % 4}", "capture_id": c, "protocol": ("TCP", "UDP", "tcp")[i % 3]} for i, at in enumerate(times * 2) for c in ("a", "b")]
+    feed = live.from_packets(packets(*rows)).withColumn("size", F.when(F.col("src_ip") != "10.0.0.1", F.col("size")))
+    ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.col("s") + k.cast("long") * 1_000_000))
+    pairs = feed.withColumn("s", (F.floor(F.unix_micros("ts") / 1e6).cast("long") + 1) * 1_000_000).select("feed", ends.alias("end_us"), "src_ip", "dst_ip").distinct()
+    want = bag(pairs.groupBy("feed", "end_us").agg(F.count("*").alias("active_connections")))
+    seconds = live.second_metrics(feed)
+    assert bag(live.active_connections_exact(feed)) == want and bag(live.active_connections(seconds)) == want
+    narrow = live.window_metrics(feed)
+    assert bag(live.live_metrics(seconds).select(narrow.columns)) == bag(narrow)
+
+
+def test_a_second_goes_to_two_blocks_not_to_sixty_windows(spark, packets):
+    feed = live.from_packets(packets(*[{"at": float(i)} for i in range(300)]))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    seconds = live.second_metrics(feed)
+    blocks = live._blocks(seconds, live.ACTIVE)
+    assert blocks.select(F.sum(F.size("items"))).first()[0] == 2 * seconds.count()
+    assert "hll_union_agg" not in plan(live.live_metrics(seconds)) + plan(live.active_connections(seconds))
+    assert "sequence" not in plan(feed) and live.active_connections_exact(feed).count() == 359
