@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from netlens.operators import detect, filters, prefixes, search
 from netlens.operators.search import Criterion, RuleBook, SearchQuery
+from netlens.operators.stage import checkpointed
 from netlens.plans.detection import _D8, _TRIAGE
 from netlens.plans.flows import _A8, _CONV
 from netlens.plans.registry import query
@@ -337,8 +338,10 @@ def f9(spark, sf):
     r = _conversations(spark, sf).unionByName(
         search.alert_records(detect.security_triage(derived.packets(spark, sf))), allowMissingColumns=True
     )
+    # the three searches share one pass: what any side has holds what each has
+    found = checkpointed(search.by_ip_range(r, "93.184.0.0/18"))
     parts = [
-        search.by_ip_range(r, "93.184.0.0/18", side).select(F.lit(side).alias("side"), *_SHOWN)
+        search.by_ip_range(found, "93.184.0.0/18", side).select(F.lit(side).alias("side"), *_SHOWN)
         for side in ("src", "dst", "any")
     ]
     return parts[0].union(parts[1]).union(parts[2])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions import measures, net, text
 from netlens.operators import catalog
+from netlens.plans import load
 
 
 def evaluate(spark, values, schema, *cols):
@@ -99,3 +100,19 @@ def test_node_ids_and_estimates(spark):
     df = spark.createDataFrame([(10**9, "security_focused", "low"), (10**6, "basic", "urgent"), (10**8, "x", "y")], "file_size long, analysis_type string, priority string")
     assert [r[0] for r in df.select(catalog.estimated_seconds()).collect()] == [900, 30, 100]
     assert [g[0] for g in evaluate(spark, [None], "string", F.coalesce(net.protocol_name(F.col("x").cast("int")), F.lit("?")))] == ["OTHER"]
+
+
+def test_blocks_are_told_by_the_text(spark):
+    rng, texts = random.Random(5), ["10.0.2.1\n", "10.0.2.256", "010.0.2.1", "10.0.2", "10.0.2.1.1", "", None, "::1", "10.0.02.1", " 10.0.2.1", "10.0.2.1000"]
+    texts += [f"{rng.choice([10, 11, 0, 255])}.{rng.choice([0, 1, 99, 255])}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(300)]
+    table = spark.createDataFrame([(t,) for t in texts], "ip string")
+    blocks = [ipaddress.ip_network(f"{a}/{n}", strict=False) for n in range(33) for a in (texts[-1], "10.0.2.1")]
+    inside = {str(b): F.coalesce(net._in_network(net.ip_num("ip"), b), F.lit(False)) for b in blocks}
+    wrong = [F.count_if(net.in_cidr("ip", b) != want).alias(b) for b, want in inside.items()]
+    assert set(table.agg(*wrong).first()) == {0}
+    assert "split" not in str(net.in_cidr("ip", "10.0.2.0/23")._jc)
+
+
+def test_a_search_by_side_reads_its_records_once(spark):
+    plan = load()[0]["f9_search_ip_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "events" not in plan and "Aggregate" not in plan and "Join" not in plan
