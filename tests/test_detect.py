@@ -1,5 +1,8 @@
 """Every detector fires on something, including those the derived view never reaches."""
 
+from dataclasses import replace
+from functools import reduce
+
 import pytest
 
 from netlens.operators import detect, findings, graph
@@ -133,3 +136,16 @@ def test_findings_read_a_table_five_times(spark, tmp_path, packets):
     assert readings(detect.all_findings(table)) <= 5
     assert readings(detect.group_findings(table)) == readings(detect.flow_findings(table)) == 1
     assert readings(detect.load_and_performance(table)) <= 4
+
+
+def test_rules_name_the_column_they_need(packets):
+    """Rules with ``needs`` are passed over where that column is NULL, and could not hold there."""
+    rules = [*detect.triage_rules(), *detect.deep_rules()]
+    assert {r.needs for r in rules} == {None, "payload", "dns_query", "http_method", "tls_version"}
+    full = TCP | {"payload": "password=1 <script>", "dns_query": "a" * 120, "http_method": "GET", "http_uri": "/../", "tls_version": 1, "src_port": 80, "dst_port": 2000, "tcp_flags": 4}
+    for column in ("payload", "dns_query", "http_method", "tls_version"):
+        p = packets(full | {column: None})
+        assert p.where(reduce(lambda a, b: a | b, [r.when for r in rules if r.needs == column])).count() == 0
+    everything = kinds(detect.packet_findings(packets(full), rules))
+    ungated = [replace(r, needs=None) for r in rules]
+    assert everything == kinds(detect.packet_findings(packets(full), ungated)) and "xss" in everything

@@ -116,3 +116,10 @@ def test_blocks_are_told_by_the_text(spark):
 def test_a_search_by_side_reads_its_records_once(spark):
     plan = load()[0]["f9_search_ip_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "events" not in plan and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_entropy_counts_its_bytes_once(spark):
+    entropy = text.entropy("s")
+    assert str(entropy).count("decode(") == 1
+    rows = spark.createDataFrame([("aab\nb\n\n\0",), ("",), (None,), ("$1\\ü",)], "s string")
+    assert [round(r[0], 6) for r in rows.select(entropy).collect()] == [1.905639, 0, 0, 2.321928]
