@@ -84,3 +84,11 @@ def test_idle_sessions_equal_session_window(packets):
         .select(*net.CONVERSATION, net.us("s.start"), net.us("s.end"), "packets", "bytes")
     )
     assert sorted(map(tuple, flows.idle_sessions(p).select(*net.CONVERSATION, "start_us", "end_us", "packets", "bytes").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_carries_by_number_are_hashed_and_keep_rows_without_one(spark):
+    rows = [("a", None, 7), ("a", 1, 8), ("a", 10, None), ("a", 25, 9)]
+    df = spark.createDataFrame(rows, "k string, n long, v long")
+    out = scan(df, ["k"], [F.col("n")], F.floor(F.col("n") / 10).cast("long"), last={"prev": F.col("v")})
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["n"]: r["prev"] for r in out.collect()} == {None: None, 1: 7, 10: 8, 25: 8}

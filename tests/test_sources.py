@@ -190,3 +190,13 @@ def test_screening(spark):
     assert (v["poly"], v["tools"], v["mixed"], v["early"]) == ("critical", "critical", "low", "high")
     twice = df.union(df.where("path = 'noise'").withColumn("path", F.lit("other")))
     assert one(screen.duplicates(twice))["files"] == 2
+
+
+def test_tasks_of_the_derived_packets_grow_with_the_events(spark, tmp_path, monkeypatch):
+    from netlens.sources import derived
+
+    events = spark.range(200).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(derived, "TASK_EVENTS", 5)
+    p = derived.packets(spark, str(tmp_path))
+    assert p.rdd.getNumPartitions() == 40 and p.count() == 1000
