@@ -1,5 +1,6 @@
 """Packing of token sequences: BM25 neighbours of a seed document fill its window."""
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.shared import staged
+from netlens.llm.shared import bytes_of, span_hashes, staged
+from netlens.llm.tokens import LONGEST, Cutter
 
 WINDOW = 2048
 END = 1
@@ -18,8 +20,9 @@ SHARD_TOKENS = 1 << 20
 #: A seed's terms of highest weight, which are searched for.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: Words, and parts of words, whose ids a worker remembers.
+#: Units of texts whose ids a worker remembers, and places to find them by hash.
 REMEMBERED = 700_000
+PLACES = 1 << 22
 
 TOKENS = "id bigint, ids binary, route bigint, seen binary"
 PIECES = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -37,17 +40,79 @@ _SPELLING = {b: chr(b) for b in _SPELT} | {b: chr(256 + k) for k, b in enumerate
 END_OF_WORD = "</w>"
 
 
+class _Grown:
+    """An array that is appended to."""
+
+    def __init__(self, kind: np.dtype):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            wider = np.empty(max(2 * self.n, self.n + len(values)), self.data.dtype)
+            wider[: self.n] = self.data[: self.n]
+            self.data = wider
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Known:
+    """The ids of units, in flat arrays without an object per unit. A unit has one place, by its
+    hash; what stands there counts only if its bytes are the same, and a later unit takes it."""
+
+    def __init__(self, kind: np.dtype):
+        self.places = np.zeros(PLACES, np.int32)  # number of the unit, from 1
+        self.texts, self.ids = _Grown(np.uint8), _Grown(kind)
+        self.text_ends, self.id_ends = _Grown(np.int64), _Grown(np.int64)
+        for ends in (self.text_ends, self.id_ends):
+            ends.add(np.zeros(1, np.int64))
+
+    def __len__(self) -> int:
+        return self.text_ends.n - 1
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(PLACES - 1)).astype(np.int64)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the units in ``data`` are known; of these, the ids and how many each has."""
+        at = self.places[self._place(hashes)].astype(np.int64) - 1
+        found = at >= 0
+        own = self.text_ends.data[at]
+        found &= self.text_ends.data[at + 1] - own == sizes
+        if found.any():
+            same = data[_ranges(starts[found], sizes[found])] == self.texts.data[_ranges(own[found], sizes[found])]
+            found[found] = np.logical_and.reduceat(same, np.cumsum(sizes[found]) - sizes[found])
+        at = at[found]
+        first = self.id_ends.data[at]
+        n = self.id_ends.data[at + 1] - first
+        return found, self.ids.data[_ranges(first, n)], n
+
+    def add(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        self.places[self._place(hashes)] = np.arange(len(self) + 1, len(self) + 1 + len(sizes))
+        self.text_ends.add(np.cumsum(sizes) + self.texts.n)
+        self.id_ends.add(np.cumsum(n) + self.ids.n)
+        self.texts.add(data[_ranges(starts, sizes)])
+        self.ids.add(ids)
+
+
 class Encoder:
     """Token ids of texts. The tokenizer drops white space and never joins what stands on its
-    two sides, so each word between ASCII blanks is encoded once and looked up afterwards. Words
-    of Latin-1 are cut into the parts that the tokenizer's pattern gives and only the parts not
-    seen yet go through its model; all others go through the whole tokenizer."""
+    two sides, nor a letter with the punctuation after it (``Cutter`` asks its file), so each
+    unit between such places is encoded once and looked up afterwards. Units of Latin-1 are cut
+    into the parts that the tokenizer's pattern gives, which go through its model; all others,
+    and texts with special tokens, go through the whole tokenizer."""
 
     def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cutter = Cutter(json.loads(self.tokenizer.to_str()))
         self.size = max(self.tokenizer.get_vocab_size(), end + 1)
         self.kind = id_type(self.size)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -56,65 +121,83 @@ class Encoder:
         self.last = np.zeros(self.size, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.last[k] = token.endswith(END_OF_WORD)
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"\n": b""}
+        self.known = Known(self.kind)
         self.end = np.array([end], self.kind).tobytes()
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """What the whole tokenizer gives."""
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without ASCII blanks and special tokens."""
-        found, plain = {}, words
-        if _ODD.search("".join(words)):
-            other = [w for w in words if _ODD.search(w)]
-            found = dict(zip(other, self.direct(other), strict=True))
-            plain = [w for w in words if w not in found]
-        parts = _PARTS.findall("\n".join([*plain, ""]).lower())
-        fresh = list(set(parts) - self.parts.keys())
-        if len(self.parts) + len(fresh) > REMEMBERED:
-            self.parts = {"\n": b""}
-            fresh = list(set(parts) - self.parts.keys())
-        spelt = [p if p.isascii() else "".join(map(_SPELLING.__getitem__, p.encode())) for p in fresh]
+    def plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of printed Latin-1, and how many each has."""
+        parts = _PARTS.findall("\n".join([*units, ""]).lower())
+        number = {p: k for k, p in enumerate(dict.fromkeys(["\n", *parts]))}
+        part = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        del number["\n"]
+        spelt = [p if p.isascii() else "".join(map(_SPELLING.__getitem__, p.encode())) for p in number]
         ids = np.array(self.model.encode_batch_fast([" ".join(spelt)])[0].ids, self.kind)
-        stops = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
-        if len(stops) != len(fresh):
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) != len(spelt):
             raise ValueError("this tokenizer does not end each part of a word with an end-of-word token")
-        body, stops = ids.tobytes(), stops.tolist()
-        self.parts.update(zip(fresh, map(body.__getitem__, map(slice, [0, *stops], stops)), strict=False))
-        encoded = list(map(self.parts.__getitem__, parts))
-        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
-        breaks = np.fromiter(map("\n".__eq__, parts), bool, len(parts))  # one after each word
-        body, stops = b"".join(encoded), ends[breaks].tolist()
-        made = map(body.__getitem__, map(slice, [0, *stops], stops))
-        if not found:
-            return list(made)
-        found |= zip(plain, made, strict=False)
-        return [found[w] for w in words]
-
-    def _split(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # as the tokenizer does; below U+0100 character by character
-        except UnicodeEncodeError:
-            pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        starts, sizes = (np.append(0, x) for x in (np.append(0, stops)[:-1], np.diff(stops, prepend=0)))  # a line feed has none
+        made = sizes[part]
+        n = np.diff(np.cumsum(made)[part == 0], prepend=0)  # a line feed stands after each unit
+        return ids[_ranges(starts[part], made)], n
+
+    def encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units without ASCII blanks and special tokens, and how many each has."""
+        if not _ODD.search("".join(units)):
+            return self.plain(units)
+        odd = np.array([_ODD.search(u) is not None for u in units])
+        whole = [np.frombuffer(x, self.kind) for x in self.direct([u for u, o in zip(units, odd.tolist(), strict=True) if o])]
+        ids, made = self.plain([u for u, o in zip(units, odd.tolist(), strict=True) if not o])
+        n = np.zeros(len(units), np.int64)
+        n[odd], n[~odd] = [len(x) for x in whole], made
+        out = np.empty(n.sum(), self.kind)
+        of_odd = np.repeat(odd, n)
+        out[of_odd], out[~of_odd] = np.concatenate(whole), ids
+        return out, n
+
+    def _looked_up(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, and how many each has."""
+        data, offsets = bytes_of(units)
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        hashes = span_hashes(data, starts, offsets[1:])
+        found, ids, n = self.known.find(data, starts, sizes, hashes)
+        if found.all():
+            return ids, n
+        fresh, made = self.encoded(units.filter(pa.array(~found)).to_pylist())
+        counts = np.zeros(len(units), np.int64)
+        counts[found], counts[~found] = n, made
+        out, of_known = np.empty(counts.sum(), self.kind), np.repeat(found, counts)
+        out[of_known], out[~of_known] = ids, fresh
+        if len(self.known) + len(made) > REMEMBERED:
+            self.known = Known(self.kind)
+        short = ~found & (sizes <= LONGEST)
+        self.known.add(data, starts[short], sizes[short], hashes[short], out[np.repeat(short, counts)], counts[short])
+        return out, counts
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
+        if self.cutter.cuts != "words":
+            return [x + self.end for x in self.direct(texts)]
         marked = [any(m in t for m in self.marks) for t in texts]
-        parts = [[] if m else self._split(t) for t, m in zip(texts, marked, strict=True)]
-        fresh = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {"": b""}
-            fresh = set().union(*parts) - {""}
-        fresh = list(fresh)
-        self.known.update(zip(fresh, self.words(fresh), strict=True))
-        known = self.known.__getitem__
-        return [
-            (self.direct([t])[0] if m else b"".join(map(known, p))) + self.end for t, m, p in zip(texts, marked, parts, strict=True)
-        ]
+        data, offsets = bytes_of(pa.array(["" if m else t for t, m in zip(texts, marked, strict=True)], pa.large_string()))
+        body, total = [], np.zeros(len(texts), np.int64)
+        for lo, hi in self.cutter.parts(data, offsets):
+            units, starts = self.cutter.units(data[lo:hi], offsets[(offsets >= lo) & (offsets < hi)] - lo)
+            if not len(units):
+                continue
+            coded = units.dictionary_encode()
+            ids, n = self._looked_up(coded.dictionary)
+            unit = coded.indices.to_numpy()
+            made = n[unit]
+            body.append(ids[_ranges((np.cumsum(n) - n)[unit], made)].tobytes())
+            rows = np.searchsorted(offsets, starts + lo, side="right") - 1
+            total += np.bincount(rows, made, len(texts)).astype(np.int64)
+        body, stops = b"".join(body), (np.cumsum(total) * self.kind.itemsize).tolist()
+        made = map(body.__getitem__, map(slice, [0, *stops], stops))
+        return [(self.direct([t])[0] if m else x) + self.end for t, m, x in zip(texts, marked, made, strict=True)]
 
 
 def id_type(size: int) -> np.dtype:

@@ -35,12 +35,9 @@ _NONE = np.zeros(0, np.int64)
 _LETTER = _flags(bytes(range(65, 91)) + bytes(range(97, 123)))
 
 
-class Counter:
-    """Token counts of one tokenizer file (``.json`` or sentencepiece ``.model``), without begin,
-    end or other added special tokens; special strings in a text count as the library's defaults
-    have it, and nothing is truncated or padded.
-
-    ``cuts`` says where a text may be cut without changing its tokens:
+class Cutter:
+    """Where texts may be cut without changing their tokens, by what a tokenizer's ``.json`` file
+    says. ``cuts`` is one of:
 
     * ``words``: white space is dropped and nothing is joined over it, nor a letter with the
       punctuation after it.
@@ -48,25 +45,10 @@ class Counter:
     * ``dropped``: such a blank is what the library puts in front of each text itself.
     * ``whole``: unknown; texts are not cut."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, config: dict | None = None):
         self.cuts, self.lowered, self.marks = "whole", False, np.zeros(256, bool)
-        if path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
-            joining = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
-            if not joining and model.encode("a b") == model.encode("a") + model.encode("b"):
-                self.cuts = "dropped"
-            return
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self.encode = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self._judge(json.loads(tokenizer.to_str()))
+        if config:
+            self._judge(config)
 
     def _judge(self, config: dict) -> None:
         """Where the parts named in the tokenizer's file allow a cut."""
@@ -159,6 +141,32 @@ class Counter:
         offsets = np.append(0, ends).astype(np.int64)
         return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))), starts
 
+
+class Counter(Cutter):
+    """Token counts of one tokenizer file (``.json`` or sentencepiece ``.model``), without begin,
+    end or other added special tokens; special strings in a text count as the library's defaults
+    have it, and nothing is truncated or padded."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path.endswith(".model"):
+            super().__init__()
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+            joining = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+            if not joining and model.encode("a b") == model.encode("a") + model.encode("b"):
+                self.cuts = "dropped"
+            return
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.encode = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        super().__init__(json.loads(tokenizer.to_str()))
+
     def encoded(self, texts: list[str]) -> list[int]:
         """Lengths of texts, in calls of about CALL_BYTES characters."""
         out: list[int] = []

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,35 @@ def test_a_full_memory_of_words_is_begun_anew(monkeypatch):
     assert again[1] == once[0] and len(encoder.known) < 300
 
 
+def test_a_unit_is_encoded_once_whatever_stands_after_it():
+    encoder = packing.Encoder(tokenizer_path())
+    texts = ["foo foo, foo. (foo) foo", None, "FOO\n\tfoo.", "Foo! " * 400_000, ", foo"]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == ids_of(tokenizer_path(), text)
+    assert len(encoder.known) == 6  # foo (foo , . ) !
+
+
+def test_units_of_one_place_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "PLACES", 4)
+    encoder = packing.Encoder(tokenizer_path())
+    texts = [prose(k, 60) for k in range(5)] + ODD + ["x" * 70 + " " + "é" * 40 + ", y"]
+    for _ in range(2):
+        for text in texts:
+            assert np.frombuffer(encoder([text])[0], encoder.kind).tolist() == ids_of(tokenizer_path(), text), repr(text)
+
+
+def test_a_worker_remembers_words_in_few_bytes():
+    encoder = packing.Encoder(tokenizer_path())
+    encoder(["begin"])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for k in range(0, 60_000, 2000):
+        encoder([" ".join(f"{n:x}q{n:o}" for n in range(k, k + 2000))])
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(encoder.known) > 59_000 and held < 100 * 60_000
+
+
 def checked(rows, ids, window):
     """Every id in one piece, sequences gapless and within the window; the padding."""
     pieces, sequences = {}, {}
