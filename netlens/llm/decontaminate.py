@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.shared import LOWER, bytes_of, free_name, pieces, span_hashes, spans, staged
+from netlens.llm.shared import LOWER, PIECE_BYTES, bytes_of, free_name, lean, pieces, span_hashes, spans, staged
 
 WINDOW = 13
 #: Words between a window's rarest word and any other, for a proximity match.
@@ -31,7 +31,13 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = bytes_of(column)
     data = LOWER[data]
     starts, ends, rows = spans(_WORD[data], offsets)
-    return span_hashes(data, starts, ends), np.searchsorted(rows, np.arange(len(column) + 1))
+    hashes, done = np.empty(len(starts), np.uint64), 0
+    while done < len(starts):  # some words at a time, for the hashes take many bytes for each of the text's
+        lo = starts[done]
+        upto = max(done + 1, int(np.searchsorted(ends, lo + PIECE_BYTES, side="right")))
+        hashes[done:upto] = span_hashes(data[lo : ends[upto - 1]], starts[done:upto] - lo, ends[done:upto] - lo)
+        done = upto
+    return hashes, np.searchsorted(rows, np.arange(len(column) + 1))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,6 +46,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashes, and for each word its sorted positions. A document lies in one segment; null ids
     stay null; a null text has no words. Binary columns hold little-endian numbers."""
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -179,6 +186,7 @@ def search(
     for items, texts in _blocks(benchmark, item_col, text_col):
         sent = context.broadcast((["null" if i is None else str(i) for i in items], Windows(texts, window)))
 
+        @lean
         def hits(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, windows = sent.value
             for batch in batches:

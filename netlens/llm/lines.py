@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from netlens.llm.shared import bytes_of, free_name, mixed, pieces, span_hashes, spans, staged
+from netlens.llm.shared import bytes_of, free_name, lean, mixed, pieces, span_hashes, spans, staged
 
 #: A border stands before about one line in so many.
 SPREAD = 3
@@ -88,6 +88,7 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, spread: int = SPREAD, long_run: int = LONG_RUN) -> DataFrame:
     """(_key, _text_hash, ordinal, lo, hi, hash) of every chunk; lo and hi are its first and last line."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             found = Chunks(batch.column(2), spread, long_run)
@@ -121,6 +122,7 @@ def _covers(repeats: DataFrame) -> DataFrame:
     """Per document of (_key, _text_hash, marks): what to look at of the chunks that an earlier
     place has (a cover of their lines), and those it has first itself."""
 
+    @lean
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -146,6 +148,7 @@ def _bodies(marked: DataFrame, text_at: int, spread: int, long_run: int) -> Data
     """The bytes of the chunks that the last columns (_key, _text_hash, marks) name."""
     names = ["_key", "_text_hash", "ordinal", "first", "hash", "body"]
 
+    @lean
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_at):
             found = Chunks(batch.column(text_at), spread, long_run)
@@ -224,6 +227,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sprea
     ready = ready.select(*names, F.coalesce(F.transform(lost, lambda m: m["ordinal"]), F.array().cast("array<int>")).alias("_gone"), "_copy")
     schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.IntegerType())])
 
+    @lean
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, copies = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.shared import bytes_of, span_hashes, staged
+from netlens.llm.shared import bytes_of, lean, span_hashes, staged
 from netlens.llm.tokens import LONGEST, Cutter
 
 WINDOW = 2048
@@ -226,6 +226,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id"
     decides only which documents share a shard. A null text has the end token alone. One more
     row per partition, without ids, has in ``seen`` how many of its documents have each id."""
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end)
         names = ["id", "ids", "route", "seen"]
@@ -257,6 +258,7 @@ def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
     """In how many documents each id occurs: the partitions' counts, summed by Spark. The result
     has one number per entry of the vocabulary, which bounds it."""
 
+    @lean
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seen in batch.column(0):
@@ -384,6 +386,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
     mean_length = n_bytes / kind.itemsize / max(1, n_docs)
     sent = tokens.sparkSession.sparkContext.broadcast(idf)
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

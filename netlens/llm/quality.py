@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.shared import LOWER, bytes_of, mixed, pieces, span_hashes, spans
+from netlens.llm.shared import LOWER, bytes_of, give_back, lean, mixed, pieces, span_hashes, spans
 
 #: Buckets of hashed words, bins of each statistic, width of the factors.
 WORD_BUCKETS = 1 << 15
@@ -151,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col("n_chars").cast("bigint").alias("n_chars"))
     rows = rows.join(F.broadcast(chosen), "_id").select("_id", "text", "n_chars", "_y")
 
+    @lean
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             offsets, ids, values = features(batch.column(1), batch.column(2))
@@ -187,6 +188,8 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", to: str = "
     def chance(text: pd.Series, n_chars: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True), pa.array(n_chars, pa.float64(), from_pandas=True)], ["t", "n"])
         made = [sent.value.scores(*features(part.column(0), part.column(1))) for part in pieces(iter([batch]), 0)]
+        del batch
+        give_back()
         return pd.Series(np.concatenate(made) if made else np.zeros(0))
 
     return docs.withColumn(to, chance(F.col(text_col), F.col("n_chars").cast("double")))

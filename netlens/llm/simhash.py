@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from netlens.llm.graph import components
-from netlens.llm.shared import free_name, mixed, pieces, staged
+from netlens.llm.shared import free_name, lean, mixed, pieces, staged
 
 SHINGLE = 4
 RADIUS = 4
@@ -187,6 +187,7 @@ def _pairs(cells: DataFrame, near: int, radius: int) -> DataFrame:
     dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", "node")
     per_place = len(cell_masks(RADIUS))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
@@ -250,6 +251,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     """(id, node, keys, sketch, fp) of every row; texts without words are node 0 and have no keys.
     ``fp`` is the fingerprint that ``fingerprints`` gives."""
 
+    @lean
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             nodes, keys, sketches, fps = batch.column(1).to_pylist(), [], [], []
@@ -315,6 +317,7 @@ def _candidates(nodes: DataFrame, bits: int) -> DataFrame:
     dealt = cells.repartition("key").sortWithinPartitions("key", "node")
     names = ["a", "b", "bits", "long", "key"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, marks in _cells_of(batches):
             marks = marks.view(np.uint64)
@@ -392,6 +395,7 @@ def _within_cells(cells: DataFrame, members: DataFrame, bits: int, jaccard: floa
     met = told.select("key", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(members, "node")
     names = ["a", "b"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
@@ -426,6 +430,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle
     """(node, set): the distinct shingle hashes of the nodes (node, first), whose text the row of
     id ``first`` has."""
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
@@ -441,6 +446,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
     """The pairs (a, b) whose sets of shingles have that Jaccard similarity. Only texts of nodes in
     a pair become sets; ``firsts`` (node, first) names one document of each node."""
 
+    @lean
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

@@ -1,5 +1,8 @@
 import hashlib
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,50 @@ def test_pieces_are_bounded_and_whole():
     assert [len("".join(g)) for g in got] == [3, 9, 4] and sum(map(len, got)) == 5
 
 
+def test_words_of_a_long_segment_leave_no_long_tables():
+    texts = pa.array([f"Ab{k} " * 90_000 + "\u00e9 x" for k in range(5)] + [None, "", "w" * (shared.PIECE_BYTES + 9) + " ab"])
+    hashes, first = decontaminate.words(texts)
+    assert max(map(len, shared._powers)) <= shared.PIECE_BYTES + 1
+    data, offsets = shared.bytes_of(texts)
+    starts, ends, _ = shared.spans(decontaminate._WORD[shared.LOWER[data]], offsets)
+    assert (hashes == shared.span_hashes(shared.LOWER[data], starts, ends)).all()
+    assert first.tolist() == [90_002 * k for k in range(6)] + [5 * 90_002] * 2 + [5 * 90_002 + 2]
+
+
+HELD = """
+import re
+import pyarrow as pa
+from netlens.llm import lines, simhash
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+class Rows:
+    schema = {"id": type("Id", (), {"dataType": simhash.T.LongType()})}
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+for module in (lines, simhash):
+    module.F = type("Columns", (), {"__getattr__": lambda self, name: lambda *a: self})()
+lines._keys = lambda *a: []
+texts = ["".join(f"word{i * j % 9973} line{j}\\n" for j in range(150)) for i in range(1500)]
+ids = list(range(len(texts)))
+before = held()
+for rows in (lines.chunk_rows(Rows(), "a", "t"), simhash._keyed(Rows(), "a", "t", 5)):
+    for _ in rows.function(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, ids, texts)], ["a", "b", "t"])])):
+        pass
+print(held() - before)
+"""
+
+
+def test_a_worker_gives_back_memory_after_its_task():
+    ran = subprocess.run([sys.executable, "-c", HELD], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert int(ran.stdout) < 35, ran.stderr
+
+
 # quality classifier
 
 
